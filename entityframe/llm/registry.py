@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe_tree import op7_byte_bpe
 from .quality_rules import OP8_SQL, op8_quality_rules
+from .token_counts import op5_token_counts
+from .token_store import op1_token_store
 
 
 def queries():
-    return {"op8_quality_rules": op8_quality_rules}
+    return {f.__name__: f for f in (op1_token_store, op5_token_counts, op7_byte_bpe, op8_quality_rules)}
 
 
 def oracle_sql():
