@@ -31,7 +31,7 @@ def default_rules() -> list[Rule]:
     return [
         Rule("symbol_ratio", c("n_symbols") * 10 > c("n_words")),
         Rule("word_length", (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 15 * c("n_words"))),
-        Rule("dup_lines", c("n_dup_lines") * 10 > 3 * c("n_lines")),
+        Rule("dup_lines", c("n_dup_lines") * 2 > c("n_lines")),
         Rule("few_letters", F.regexp_count("text", F.lit(r"\p{L}")) * 10 < 6 * c("word_chars")),
         Rule("ellipsis_lines", F.regexp_count("text", F.lit(r"(?m)(\.\.\.|…)[\x20\t]*$")) * 10 > 3 * c("n_lines")),
         Rule("vocabulary", (c("n_words") >= 200) & (F.size(F.array_distinct("words")) * 20 < c("n_words"))),
@@ -149,7 +149,7 @@ WITH w AS (
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT (base_failed OR n_symbols * 10 > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-            OR n_dup_lines * 10 > 3 * n_lines
+            OR n_dup_lines * 2 > n_lines
             OR len(regexp_extract_all(text, '\p{L}')) * 10 < 6 * word_chars
             OR len(regexp_extract_all(text, '(?m)(\.\.\.|…)[\x20\t]*$')) * 10 > 3 * n_lines
             OR (n_words >= 200 AND len(list_distinct(words)) * 20 < n_words)) AS kept
