@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .bpe_tree import op7_byte_bpe
 from .language_id import op4_language_id
+from .mixing import op2_mixing
+from .pii import op9_pii
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .token_counts import op5_token_counts
 from .token_store import op1_token_store
@@ -11,7 +13,7 @@ from .topk_search import OP6_SQL, op6_topk_search
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_store, op4_language_id, op5_token_counts, op6_topk_search, op7_byte_bpe, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_token_store, op2_mixing, op4_language_id, op5_token_counts, op6_topk_search, op7_byte_bpe, op8_quality_rules, op9_pii)}
 
 
 def oracle_sql():
