@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,7 +34,24 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each context, so that it need not be installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_entityframe_shipped", False):
+        return
+    package = Path(__file__).parents[1]
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    path = Path(tempfile.mkdtemp()) / "entityframe.zip"  # Spark's own file server takes it from the driver
+    path.write_bytes(data.getvalue())
+    context.addPyFile(str(path))
+    context._entityframe_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
