@@ -8,13 +8,14 @@ from .mixing import op2_mixing
 from .near_dups import OP3_SQL, op3_minhash
 from .pii import op9_pii
 from .quality_rules import OP8_SQL, op8_quality_rules
+from .repeats import op10_repeats
 from .token_counts import op5_token_counts
 from .token_store import op1_token_store
 from .topk_search import OP6_SQL, op6_topk_search
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_store, op2_mixing, op3_minhash, op4_language_id, op5_token_counts, op6_topk_search, op7_byte_bpe, op8_quality_rules, op9_pii)}
+    return {f.__name__: f for f in (op1_token_store, op2_mixing, op3_minhash, op4_language_id, op5_token_counts, op6_topk_search, op7_byte_bpe, op8_quality_rules, op9_pii, op10_repeats)}
 
 
 def oracle_sql():
