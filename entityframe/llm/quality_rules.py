@@ -116,6 +116,11 @@ def quality(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text"
     )
 
 
+def kept_rows(rated: DataFrame) -> DataFrame:
+    """The kept rows of `quality`. The row number keeps the optimiser from copying all signals into the filter."""
+    return rated.withColumn("__row", F.monotonically_increasing_id()).where("kept AND __row >= 0").drop("__row")
+
+
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .bpe_tree import op7_byte_bpe
 from .language_id import op4_language_id
 from .mixing import op2_mixing
@@ -14,8 +16,12 @@ from .token_store import op1_token_store
 from .topk_search import OP6_SQL, op6_topk_search
 
 
+def pipeline(spark, sf_dir: str):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_token_store, op2_mixing, op3_minhash, op4_language_id, op5_token_counts, op6_topk_search, op7_byte_bpe, op8_quality_rules, op9_pii, op10_repeats)}
+    return {"pipeline": pipeline} | {f.__name__: f for f in (op1_token_store, op2_mixing, op3_minhash, op4_language_id, op5_token_counts, op6_topk_search, op7_byte_bpe, op8_quality_rules, op9_pii, op10_repeats)}
 
 
 def oracle_sql():
