@@ -16,8 +16,8 @@ DAYS_OF_UNIT = {"year": 365, "month": 30, "week": 7, "day": 1}
 def date_format(value: Column, pattern: str) -> Column:
     """By a strftime pattern; other letters stand for themselves."""
     out = ""
-    for token in re.findall(r"%.|[^%A-Za-z]+|[A-Za-z]+|%", pattern):
-        out += STRFTIME.get(token) or (f"'{token}'" if token.isalpha() else token.replace("'", "''"))
+    for token in re.findall(r"%[YmdHMS%]|(?:(?!%[YmdHMS%]).)+", pattern, re.S):
+        out += STRFTIME.get(token) or "'" + token.replace("'", "''") + "'"
     return F.date_format(value, out)
 
 
