@@ -175,7 +175,7 @@ def write_store(docs: DataFrame, path: str, vocab_path: str, end_id: int = 0, id
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Roots of ranges of 2^12 document ids, of 2^24, and so on up to the root of the store."""
-    leaf = F.sha2(F.concat_ws(" ", F.coalesce("doc_id", F.lit("-")), "start", "n_tokens", F.hex("root")), 256)
+    leaf = F.sha2(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "start", "n_tokens", F.hex("root")), 256)
     nodes = spark.read.parquet(f"{path}/recipes").select(F.col("doc_id").alias("block"), F.lit(1).cast("long").alias("n_docs"), "n_tokens", F.col("start").alias("at"), leaf.alias("root"))
     out = None
     for level in range(1, 64 // MANIFEST_BITS + 2):
