@@ -29,6 +29,7 @@ WINDOW, LEAST, MEAN_BITS, MOST = 16, 128, 9, 4096
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _U64 = np.uint64
 MANIFEST_BITS = 12
+DATA = "kind string, key binary, doc_id bigint, n_tokens bigint, ends array<int>, digests array<binary>, root binary, payload binary"
 
 
 class IdEncoder:
@@ -162,11 +163,10 @@ def write_store(docs: DataFrame, path: str, vocab_path: str, end_id: int = 0, id
             for i in range(0, len(out), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 2000], strict=True), kinds, strict=True)], names)
 
-    schema = "kind string, key binary, doc_id bigint, n_tokens bigint, ends array<int>, digests array<binary>, root binary, payload binary"
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, schema).dropDuplicates(["kind", "key"])
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, DATA).dropDuplicates(["kind", "key"])
     rows.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/data")
     spark = docs.sparkSession
-    notes = spark.read.schema(schema).parquet(f"{path}/data").where("kind = 'doc'").select("doc_id", "n_tokens", "ends", "digests", "root")
+    notes = spark.read.schema(DATA).parquet(f"{path}/data").where("kind = 'doc'").select("doc_id", "n_tokens", "ends", "digests", "root")
     recipes = prefix_sums(notes, "doc_id", "n_tokens", "start", tie=F.col("root"))
     recipes = recipes.select("doc_id", "start", "n_tokens", "ends", "digests", "root")
     recipes.repartitionByRange(F.col("doc_id"), F.col("start")).sortWithinPartitions("doc_id", "start").write.option("compression", "zstd").parquet(f"{path}/recipes")
@@ -231,7 +231,7 @@ def verified(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
             term = crc_shifted(crc, 4 * after).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3, 4)), pa.array(term, pa.int64())], ["doc_id", "start", "sound", "n", "term"])
 
-    chunks = spark.read.parquet(f"{path}/data").where("kind = 'chunk'").select("key", "payload").mapInArrow(facts, "digest binary, n bigint, crc bigint, ok boolean")
+    chunks = spark.read.schema(DATA).parquet(f"{path}/data").where("kind = 'chunk'").select("key", "payload").mapInArrow(facts, "digest binary, n bigint, crc bigint, ok boolean")
     parts = _exploded(spark.read.parquet(f"{path}/recipes")).join(chunks, "digest", "left")
     parts = parts.select("doc_id", "start", "after", (F.col("sound") & F.coalesce("ok", F.lit(False))).alias("sound"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc"))
     terms = parts.mapInArrow(placed, "doc_id bigint, start bigint, sound boolean, n bigint, term bigint")
@@ -248,7 +248,7 @@ def read_ids(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
             ids = [np.frombuffer(b"".join(p), f"<u{id_bytes}").astype("<i4") for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
-    chunks = spark.read.parquet(f"{path}/data").where("kind = 'chunk'").select(F.col("key").alias("digest"), "payload")
+    chunks = spark.read.schema(DATA).parquet(f"{path}/data").where("kind = 'chunk'").select(F.col("key").alias("digest"), "payload")
     parts = _exploded(spark.read.parquet(f"{path}/recipes")).join(chunks, "digest", "left")
     whole = parts.groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("end", "payload"))).alias("p"))
     return whole.select("doc_id", "start", F.col("p.payload").alias("p")).mapInArrow(unpack, "doc_id bigint, start bigint, ids array<int>")
