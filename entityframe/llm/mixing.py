@@ -32,13 +32,13 @@ class Target:
 def source_table(docs: DataFrame, source: str = "source", tokens: str = "n_tokens") -> DataFrame:
     """Per source: rows, tokens and share. A hot source is summed where it lies before anything is sent."""
     sums = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n_rows"), F.sum(tokens).alias("tokens"))
-    total = sums.agg(F.sum("tokens").alias("total"))
-    return sums.join(F.broadcast(total)).select("source", "n_rows", "tokens", (F.col("tokens") / F.col("total")).alias("share"))  # one row
+    total = sums.agg(F.sum("tokens")).first()[0]
+    return sums.select("source", "n_rows", "tokens", (F.col("tokens") / F.lit(total)).alias("share"))
 
 
-def weighted(sources: DataFrame, exponents: DataFrame) -> DataFrame:
+def weighted(sources: DataFrame, exponents: list[float]) -> DataFrame:
     """Per exponent: entropy of the weights, its largest value, and the repetitions of the most repeated source if every source is gone through once at least."""
-    w = sources.join(F.broadcast(exponents)).withColumn("w", F.pow("share", "a"))  # at most 2^HALVINGS exponents
+    w = sources.withColumn("a", F.explode(F.array(*map(F.lit, exponents)))).withColumn("w", F.pow("share", "a"))
     rep = F.pow("share", F.col("a") - 1)
     return w.groupBy("a").agg(
         (F.log(F.sum("w")) - F.sum(F.col("w") * F.log("w")) / F.sum("w")).alias("entropy"),
@@ -59,10 +59,10 @@ def exponent(sources: DataFrame, target: Target) -> float:
     def good(r) -> bool:
         return r["entropy"] >= target.entropy * r["most"] if meets_below else r["repetitions"] <= target.repetitions
 
-    spark, n = sources.sparkSession, 1 << HALVINGS
+    n = 1 << HALVINGS
     for p in range(PASSES):
         grid = [low + (high - low) * i / n for i in range(n + 1)]
-        rows = {r["a"]: good(r) for r in weighted(sources, spark.createDataFrame([(x,) for x in grid], "a double")).collect()}
+        rows = {r["a"]: good(r) for r in weighted(sources, grid).collect()}
         if not rows:
             return 1.0
         if p == 0 and (rows[1.0] if meets_below else rows[0.0]):
@@ -92,11 +92,10 @@ def mixture(docs: DataFrame, target: Target, block_tokens: int = 1 << 20, seed:
     rows = written(rows, "mix-rows")
     sources = written(source_table(rows), "mix-sources")
     a = exponent(sources, target)
-    norm = sources.agg(F.sum(F.pow("share", F.lit(a))).alias("z"), F.max(F.pow("share", F.lit(1 - a))).alias("top"), F.sum("tokens").alias("total"))
-    plan = sources.join(F.broadcast(norm))  # one row
-    plan = plan.withColumn("weight", F.pow("share", F.lit(a)) / F.col("z"))
+    norm = sources.agg(F.sum(F.pow("share", F.lit(a))).alias("z"), F.max(F.pow("share", F.lit(1 - a))).alias("top"), F.sum("tokens").alias("total")).first()
+    plan = sources.withColumn("weight", F.pow("share", F.lit(a)) / F.lit(norm["z"]))
     # budget / share^(1-a) is constant over sources at the most needy one
-    whole = F.lit(budget).cast("double") if budget is not None else F.col("top") * F.col("z") * F.col("total")
+    whole = F.lit(float(budget) if budget is not None else (norm["top"] or 0.0) * (norm["z"] or 0.0) * (norm["total"] or 0))
     plan = plan.select(
         F.col("source").alias("s"), "weight", F.col("tokens").alias("s_tokens"),
         F.ceil(F.col("weight") * whole * (1 - 1e-12)).alias("quota"), F.greatest(F.lit(1.0), F.col("weight") * block_tokens).alias("part"))
