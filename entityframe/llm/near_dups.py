@@ -35,6 +35,8 @@ _CHAR_BASE = 0xD1342543DE82EF95
 _pow = [np.ones(1, _U64), np.ones(1, _U64)]
 #: Bytes of a stored shingle hash.
 STORED = 6
+#: Buckets of more members are compared block by block, with so many of the outside members and of all in a block.
+LARGE, BLOCK_OUTSIDE, BLOCK_ALL = 64, 64, 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -193,11 +195,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     classes = written(
         rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("regs").alias("regs")),
         "classes")
-    banded = classes.select("rep", "n", F.explode("bands").alias("key"))
+    banded = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
     priority, own = F.xxhash64("rep"), F.xxhash64("key", "rep")
     pivots = banded.groupBy("key").agg(F.min(F.struct(priority.alias("p"), "rep")).alias("x"), F.min(F.struct(own.alias("p"), "rep")).alias("y"), F.count("*").alias("size"))
     pivots = pivots.where("size > 1").select(F.col("key").alias("k"), F.col("x.p").alias("p"), F.col("x.rep").alias("pivot"), F.col("y.rep").alias("other"))
-    members = written(banded.join(pivots, F.col("key") == F.col("k")).select("key", "rep", "n", "p", "pivot", "other"), "members")
+    members = written(banded.join(pivots, F.col("key") == F.col("k")).select("key", "band", "rep", "n", "p", "pivot", "other"), "members")
     in_buckets = members.select("rep").distinct().withColumnRenamed("rep", "r")
     wanted = classes.join(in_buckets, F.col("rep") == F.col("r")).select("rep", "f1", "n", "regs")
     sets = written(_sets(docs, wanted, words, id_col, text), "sets")
@@ -214,15 +216,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     # buckets that still hold several components: members outside the pivot's component against all others
     at = found.select(F.col("v").alias("c_v"), "component")
-    marked = members.select("key", "rep", "n", "pivot").join(at, F.col("rep") == F.col("c_v"), "left").select("key", "rep", "n", "pivot", F.coalesce("component", "rep").alias("c"))
-    marked = marked.join(at, F.col("pivot") == F.col("c_v"), "left").select("key", "rep", "n", "c", (F.col("c") != F.coalesce("component", "pivot")).alias("outside"))
+    marked = members.select("key", "band", "rep", "n", "pivot").join(at, F.col("rep") == F.col("c_v"), "left").select("key", "band", "rep", "n", "pivot", F.coalesce("component", "rep").alias("c"))
+    marked = marked.join(at, F.col("pivot") == F.col("c_v"), "left").select("key", "band", "rep", "n", "c", (F.col("c") != F.coalesce("component", "pivot")).alias("outside"))
     marked = written(marked, "marked")
-    left = marked.where("outside").select("key", F.col("rep").alias("a0"), F.col("n").alias("a_n"), F.col("c").alias("a_c"))
-    open_keys = left.select(F.col("key").alias("k")).distinct()
-    right = marked.join(open_keys, F.col("key") == F.col("k"), "left_semi").select(F.col("key").alias("k"), F.col("rep").alias("b0"), F.col("n").alias("b_n"), F.col("c").alias("b_c"))
+    sizes = marked.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.col("outside").cast("int")).alias("outs")).where("outs > 0").withColumnRenamed("key", "k")
+    marked = written(marked.join(sizes, F.col("key") == F.col("k")).drop("k"), "open-members")
+    small = marked.where(F.col("size") <= LARGE)
+    left = small.where("outside").select("key", F.col("rep").alias("a0"), F.col("n").alias("a_n"), F.col("c").alias("a_c"))
+    right = small.select(F.col("key").alias("k"), F.col("rep").alias("b0"), F.col("n").alias("b_n"), F.col("c").alias("b_c"))
     near = (F.col("key") == F.col("k")) & (F.col("a_c") != F.col("b_c")) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
     third = left.join(right, near).select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")).distinct()
-    tried, found = _more(third, tried, found, sets, percent)
+    links = _links_in_blocks(marked.where(F.col("size") > LARGE), sets, percent)
+    tried, found = _more(third, tried, found, sets, percent, links)
 
     known = classes.select("f1", "f2", "rep").join(found, F.col("rep") == F.col("v"), "left").select(F.col("f1").alias("c1"), F.col("f2").alias("c2"), F.coalesce("component", "rep").alias("c"))
     out = rows.select("doc_id", "n_shingles", "f1", "f2").join(known, (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")), "left")
@@ -238,20 +243,71 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _more(pairs: DataFrame, tried: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Confirms the pairs that haven't been tried, and the components with their links."""
+def _more(pairs: DataFrame, tried: DataFrame, found: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Confirms the pairs that haven't been tried, and the components with their links and the given ones."""
     old = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     new = written(pairs.join(old, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), "pairs")
-    if new.isEmpty():
-        return tried, found
-    more = _confirmed(new, sets, percent, "tried")
-    links = more.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    tried = tried.unionByName(more)
-    if links.isEmpty():
+    if not new.isEmpty():
+        more = _confirmed(new, sets, percent, "tried")
+        tried = tried.unionByName(more)
+        more = more.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        links = more if links is None else links.unionByName(more)
+    if links is None or links.isEmpty():
         return tried, found
     return tried, components(found.select(F.col("v").alias("u"), F.col("component").alias("v")).unionByName(links))
 
 
+def _links_in_blocks(marked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between members outside the pivot's component and members of other components of large buckets.
+
+    Both are dealt into blocks of bounded size whose registers and sets meet block by block, so a large bucket is spread
+    over tasks and its pairs never become rows. A pair that shares several bands is compared in the first of them.
+    """
+    fields = ["rep", "n", "c", "regs", "hashes"]
+    own = sets.select(F.col("rep").alias("r"), "regs", "hashes")
+
+    def blocks(rows: DataFrame, total: str, size: int, name: str) -> DataFrame:
+        dealt = rows.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.ceil(F.col(total) / size)))
+        return dealt.join(own, F.col("rep") == F.col("r")).groupBy("key", "band", "block", "size").agg(F.collect_list(F.struct(*fields)).alias(name))
+
+    outside = blocks(marked.where("outside"), "outs", BLOCK_OUTSIDE, "some").select("key", "band", "some", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / BLOCK_ALL) - 1).cast("int"))).alias("to"))
+    every = blocks(marked, "size", BLOCK_ALL, "all").select(F.col("key").alias("k"), F.col("block").cast("int").alias("at"), "all")
+    spread = 6 * np.sqrt(percent / 100 * (1 - percent / 100) / _M)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for band, some, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ra, rb = (np.frombuffer(b"".join(x["regs"] for x in side), "<u2").reshape(-1, _M) for side in (some, others))
+                na, nb = (np.array([x["n"] for x in side], float) for side in (some, others))
+                ca, cb = (np.array([x["c"] for x in side]) for side in (some, others))
+                sa, sb = ([_unpacked(x["hashes"]) for x in side] for side in (some, others))
+                todo: list[tuple[np.ndarray, np.ndarray]] = []
+                for i in range(len(some)):
+                    equal = rb == ra[i]
+                    at = np.flatnonzero((equal[:, band * BAND_ROWS : (band + 1) * BAND_ROWS].all(1)) & (cb != ca[i]) & (100 * np.minimum(nb, na[i]) >= percent * np.maximum(nb, na[i])))
+                    at = at[equal[at, : band * BAND_ROWS].reshape(len(at), band, BAND_ROWS).all(2).sum(1) == 0]
+                    todo.append((np.full(len(at), i), at))
+                i, j = (np.concatenate(x) for x in zip(*todo, strict=True))
+                guess = estimate(ra[i], rb[j], na[i], nb[j]) if len(i) else np.empty(0)
+                linked: set[tuple[int, int]] = set()
+                for k in np.argsort(-guess):
+                    x, y, pair = i[k], j[k], (int(i[k]), int(cb[j[k]]))
+                    if guess[k] < percent / 100 - spread:
+                        break
+                    if pair in linked:
+                        continue  # one link to a component is enough
+                    both = len(np.intersect1d(sa[x], sb[y], assume_unique=True))
+                    if 100 * both >= percent * (na[x] + nb[y] - both):
+                        linked.add(pair)
+                        out.append((some[x]["rep"], others[y]["rep"]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
+
+    met = outside.join(every, (F.col("key") == F.col("k")) & (F.col("to") == F.col("at"))).select("band", "some", "all")
+    with small_batches(marked.sparkSession, 8):
+        return written(met.mapInArrow(run, "u bigint, v bigint").distinct(), "block-links")
+
+
 def op3_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=2)
 
