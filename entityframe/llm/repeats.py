@@ -93,7 +93,7 @@ def repeated_windows(runs: list[bytes], length: int = LENGTH) -> list[np.ndarray
         key = (key << _U64(9)) | np.append(text[i:], np.zeros(i, _U64))
     done = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         rank = np.empty(n, _U64)
         rank[order] = np.cumsum(np.append(True, ranked[1:] != ranked[:-1])).astype(_U64)
@@ -289,11 +289,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     t = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(t).alias("row"), t.alias("text"))
     runs = written(_all_runs(texts.where(F.octet_length("text") >= length), length, gram), "runs")
-    twice = runs.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select(F.col("a").alias("a_"))
+    # counted apart from the join, so that Spark can split the join's hot anchors
+    twice = written(runs.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select(F.col("a").alias("a_")), "repeated-anchors")
     runs = written(runs.join(twice, F.col("a") == F.col("a_")).drop("a_"), "shared-runs")
     kinds = written(runs.groupBy("a", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "s", "e", "p")).alias("x")), "distinct-runs")
     anchors = kinds.groupBy("a").agg(F.count("*").alias("m"), F.max((F.col("n") == 1).cast("int")).alias("single")).where("m > 1 AND single = 1")
-    anchors = anchors.select(F.col("a").alias("a_"), (F.col("m") > MOST_RUNS).alias("crowded"))
+    anchors = written(anchors.select(F.col("a").alias("a_"), (F.col("m") > MOST_RUNS).alias("crowded")), "open-anchors")
     wanted = kinds.join(anchors, F.col("a") == F.col("a_")).select("a", "c1", "c2", "n", "crowded", "x.*")
     with small_batches(docs.sparkSession, 1000):
         contexts = written(_contexts(texts, wanted, length), "contexts")

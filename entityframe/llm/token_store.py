@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_folder, prefix_sums, read_table
-from .vocab import Memory, broadcast_file, built, words
+from .vocab import Memory, broadcast_file, built, stem, words
 
 #: Ids under the rolling hash, and chunk lengths: 2^MEAN_BITS expected beyond the least.
 WINDOW, LEAST, MEAN_BITS, MOST = 16, 128, 9, 4096
@@ -43,7 +43,15 @@ class IdEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.code, self.dtype = ("I", np.dtype("<u4")) if wide else ("H", np.dtype("<u2"))
-        self.memory = Memory(lambda new: self.whole([w[1:] if w[:1] == "\0" else w if w[:1] == "\n" else " " + w for w in new]))
+        self.memory, self.stops = Memory(self._words), {c: self.whole([c])[0] for c in ",."}
+
+    def _words(self, new: list[str]) -> list[bytes]:
+        stems = [stem(w) for w in new]
+        out = {s: self.memory.known.get(s) for s in stems}
+        missing = [s for s, x in out.items() if x is None]
+        out.update(zip(missing, self.whole([w[1:] if w[:1] == "\0" else w if w[:1] == "\n" else " " + w for w in missing]), strict=True))
+        self.memory.remember({s: out[s] for s in missing})
+        return [out[s] if s == w else out[s] + self.stops[w[-1]] for s, w in zip(stems, new, strict=True)]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

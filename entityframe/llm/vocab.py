@@ -14,8 +14,8 @@ from pyspark.sql import SparkSession
 
 #: Vocabulary files are a few MB; anything larger isn't broadcast.
 MAX_VOCAB_BYTES = 64 << 20
-#: Pieces a worker remembers, and the longest piece it remembers.
-MEMORY_PIECES, MEMORY_PIECE_CHARS = 400_000, 64
+#: Pieces a worker remembers (about 250 bytes each), and the longest piece it remembers.
+MEMORY_PIECES, MEMORY_PIECE_CHARS = 1_000_000, 64
 
 
 def broadcast_file(spark: SparkSession, path: str):
@@ -64,6 +64,11 @@ class Pieces:
         return self.pattern.findall(text)
 
 
+def stem(word: str) -> str:
+    """The word without a comma or full stop right behind a letter, which is always a piece of its own."""
+    return word[:-1] if word[-1:] in (",", ".") and word[-2:-1].isalpha() else word
+
+
 class Memory:
     """Results by piece; `fill` gives those of a list of new pieces."""
 
@@ -73,10 +78,15 @@ class Memory:
     def look_up(self, pieces: list[str]) -> list:
         out = list(map(self.known.get, pieces))
         if None in out:
-            new = list({p for p, x in zip(pieces, out, strict=True) if x is None})
+            gaps = [i for i, x in enumerate(out) if x is None]
+            new = list({pieces[i] for i in gaps})
             got = dict(zip(new, self.fill(new), strict=True))
-            if len(self.known) + len(new) > MEMORY_PIECES:
-                self.known.clear()
-            self.known.update((p, x) for p, x in got.items() if len(p) <= MEMORY_PIECE_CHARS)
-            out = [got[p] if x is None else x for p, x in zip(pieces, out, strict=True)]
+            self.remember(got)
+            for i in gaps:
+                out[i] = got[pieces[i]]
         return out
+
+    def remember(self, got: dict) -> None:
+        if len(self.known) + len(got) > MEMORY_PIECES:
+            self.known.clear()
+        self.known.update((p, x) for p, x in got.items() if len(p) <= MEMORY_PIECE_CHARS)
