@@ -113,8 +113,19 @@ def augment_lookup(t: Tables):
 @query("""SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS INTEGER) AS position, l_partkey, l_quantity
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 1""")
 def contained_many(t: Tables):
-    lines = t.lineitem.where("l_orderkey % 10 = 1").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).alias("lines"))
-    rows = t.orders.join(lines, c("o_orderkey") == c("l_orderkey")).select("o_orderkey", "lines")
+    return _nested_lines(t.orders, t.lineitem.where("l_orderkey % 10 = 1"))
+
+
+@query("""SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS INTEGER) AS position, l_partkey, l_quantity
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
+def contained_many_all(t: Tables):
+    """The lines of every order."""
+    return _nested_lines(t.orders, t.lineitem)
+
+
+def _nested_lines(orders, lineitem):
+    lines = lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).alias("lines"))
+    rows = orders.join(lines, c("o_orderkey") == c("l_orderkey")).select("o_orderkey", "lines")
     return relations.contained_many(rows, ["o_orderkey"], "lines").select("o_orderkey", "position", "l_partkey", "l_quantity")
 
 

@@ -186,6 +186,21 @@ def recursive_tree(t: Tables):
     SELECT id, path, depth FROM r""")
 
 
+@query("""WITH RECURSIVE r AS (
+  SELECT p_partkey AS id, CAST(p_partkey AS VARCHAR) AS path, 0 AS depth FROM part WHERE p_partkey = 1
+  UNION ALL
+  SELECT p.p_partkey, r.path || '/' || p.p_partkey, r.depth + 1 FROM part AS p JOIN r ON CAST(floor(p.p_partkey / 2) AS BIGINT) = r.id WHERE p.p_partkey > 1)
+SELECT id, path, depth FROM r""")
+def recursive_tree_all(t: Tables):
+    """Down to the last child; more rows than Spark's limit for recursion (a million) are an error, never a shorter result."""
+    t.part.select("p_partkey").createOrReplaceTempView("entityframe_tree")
+    return t.spark.sql("""WITH RECURSIVE r(id, path, depth) AS (
+      SELECT p_partkey, CAST(p_partkey AS STRING), 0 FROM entityframe_tree WHERE p_partkey = 1
+      UNION ALL
+      SELECT p.p_partkey, r.path || '/' || p.p_partkey, r.depth + 1 FROM entityframe_tree AS p JOIN r ON p.p_partkey DIV 2 = r.id WHERE p.p_partkey > 1)
+    SELECT id, path, depth FROM r""")
+
+
 @query("SELECT o_orderstatus, n FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus) AS d WHERE n <> 1")
 def derived_table(t: Tables):
     return t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n")).where("n <> 1")
