@@ -89,8 +89,19 @@ def find_in_set_field(t: Tables):
 @query("""WITH d AS (SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE event_id % 50 = 0 GROUP BY 1)
 SELECT strftime(g, '%Y-%m-%d') AS day, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series(TIMESTAMP '2023-12-25', TIMESTAMP '2024-02-05', INTERVAL 1 DAY)) AS g) LEFT JOIN d ON d.day = strftime(g, '%Y-%m-%d')""")
 def generate_series_zero_fill(t: Tables):
+    return _daily_counts(t, t.events.where("event_id % 50 = 0"))
+
+
+@query("""WITH d AS (SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1)
+SELECT strftime(g, '%Y-%m-%d') AS day, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series(TIMESTAMP '2023-12-25', TIMESTAMP '2024-02-05', INTERVAL 1 DAY)) AS g) LEFT JOIN d ON d.day = strftime(g, '%Y-%m-%d')""")
+def generate_series_zero_fill_all(t: Tables):
+    """All events of each day."""
+    return _daily_counts(t, t.events)
+
+
+def _daily_counts(t: Tables, events):
     days = t.spark.range(1).select(F.explode(F.sequence(F.lit("2023-12-25").cast("date"), F.lit("2024-02-05").cast("date"))).alias("d")).select(F.date_format("d", "yyyy-MM-dd").alias("day"))
-    counts = t.events.where("event_id % 50 = 0").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+    counts = events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
     return days.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -16,3 +16,9 @@ def test_tree_reaches_every_part(spark, sf_dir):
     ids = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey >= 1").select("p_partkey")  # 0 is its own parent
     assert rows.select("id").exceptAll(ids).isEmpty() and ids.exceptAll(rows.select("id")).isEmpty()
     assert rows.agg(F.max("depth")).first()[0] == ids.count().bit_length() - 1
+
+
+def test_every_event_is_counted(spark, sf_dir):
+    rows = QUERIES["generate_series_zero_fill_all"](spark, sf_dir)
+    assert rows.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert rows.where("n = 0").count() > 0  # days before and after the events
