@@ -15,8 +15,25 @@ _LATEST = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id D
 SELECT user_id AS id, event_type AS kind, value FROM last WHERE event_type <> 'click'
 UNION ALL SELECT DISTINCT -user_id, 'old', 0.0 FROM events WHERE user_id BETWEEN 1 AND 19""")
 def change_apply_latest(t: Tables):
-    table = t.events.where("user_id BETWEEN 1 AND 19").select((-c("user_id")).alias("id"), F.lit("old").alias("kind"), F.lit(0.0).alias("value")).distinct()
-    stream = t.events.where("event_id % 3 <> 0").select(c("event_id").alias("seq"), F.when(c("event_type") == "click", "deleted").otherwise("updated").alias("op"), c("user_id").alias("id"), c("event_type").alias("kind"), "value")
+    table = t.events.where("user_id BETWEEN 1 AND 19").select((-c("user_id")).alias("id"))
+    return _applied(table, t.events.where("event_id % 3 <> 0"))
+
+
+_LAST = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events"
+
+
+@query(f"""WITH last AS (SELECT user_id, event_type, value FROM ({_LAST}) WHERE n = 1),
+base AS (SELECT user_id AS id FROM events UNION SELECT -user_id FROM events)
+SELECT user_id AS id, event_type AS kind, value FROM last WHERE event_type <> 'click'
+UNION ALL SELECT id, 'old', 0.0 FROM base WHERE id NOT IN (SELECT user_id FROM events)""")
+def change_apply_latest_all(t: Tables):
+    """All events, on rows that they replace or delete and, under negated ids, rows that none of them names."""
+    return _applied(t.events.select(c("user_id").alias("id")).union(t.events.select(-c("user_id"))), t.events)
+
+
+def _applied(ids, events):
+    table = ids.select("id", F.lit("old").alias("kind"), F.lit(0.0).alias("value")).distinct()
+    stream = events.select(c("event_id").alias("seq"), F.when(c("event_type") == "click", "deleted").otherwise("updated").alias("op"), c("user_id").alias("id"), c("event_type").alias("kind"), "value")
     return changes.applied(table, stream)
 
 

@@ -22,3 +22,14 @@ def test_every_event_is_counted(spark, sf_dir):
     rows = QUERIES["generate_series_zero_fill_all"](spark, sf_dir)
     assert rows.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
     assert rows.where("n = 0").count() > 0  # days before and after the events
+
+
+def test_every_change_is_applied(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").collect()
+    table = {i: ("old", 0.0) for e in events for i in (e.user_id, -e.user_id)}
+    for e in events:
+        table[e.user_id] = (e.event_type, e.value)
+    table = {i: v for i, v in table.items() if v[0] != "click"}
+    rows = QUERIES["change_apply_latest_all"](spark, sf_dir).collect()
+    assert len(rows) == len(table) and {r.id: (r.kind, r.value) for r in rows} == table
+    assert any(e.event_id % 3 == 0 and table.get(e.user_id) == (e.event_type, e.value) for e in events)
