@@ -124,8 +124,8 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     outside the domain. Columns of `docs` named n_pii or pii_kinds are replaced. Repeated rows are treated alike.
     """
     t = F.col(text)
-    # a text without any of these characters has no match
-    at_all = F.coalesce(t.rlike(r"[@=:]|\d"), F.lit(False))
+    # a text without any of these has no match; a key may hold letters only
+    at_all = F.coalesce(t.rlike(r"[@=:]|\d|AKIA"), F.lit(False))
     rows = docs.withColumn("__found", F.when(at_all, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
     rows = rows.withColumn("__found", F.when(F.size("__found") > 0, F.expr(f"transform(__found, v -> named_struct('v', v, 'k', {kind_of('v')}))")))
     rows = rows.withColumn("__new", F.expr(f"transform(__found, x -> {pseudonym('x.v', 'x.k', key)})"))
