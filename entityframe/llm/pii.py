@@ -15,31 +15,36 @@ from .common import read_table
 ROUNDS = 10  # even, so that halves of unequal length return to their places
 #: Kinds in the order in which they are tried. Patterns don't back up over long runs.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.)+[A-Za-z]{2,24}+(?![A-Za-z0-9-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+(?![A-Za-z0-9-])",
     "ipv4": r"(?<![A-Za-z0-9.])(?:\d{1,3}+\.){3}\d{1,3}+(?!\.?\d)(?![A-Za-z])",
     "date": r"(?<![A-Za-z0-9-])\d{4}-\d{2}-\d{2}(?![0-9-])",
     "ssn": r"(?<![A-Za-z0-9-])\d{3}-\d{2}-\d{4}(?![0-9-])",
     "card": r"(?<![A-Za-z0-9-])(?:\d{13,19}+|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![A-Za-z0-9]|-\d)",
     "phone": r"(?<![A-Za-z0-9(+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![0-9-])",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|api[_-]?key|secret|token)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,200}+",
+    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|api[_-]?key|secret|token)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,}+",
 }
 ANY = "|".join(PATTERNS.values())
 #: Dates from the first day, 270 * 271 of them; others are left as they are.
 FIRST_DAY, DAYS = "1900-01-01", (270, 271)
+#: Letters and digits that are permuted together; longer values go in groups of GROUP to 2 * GROUP - 1, so that cost is linear.
+TOGETHER, GROUP = 255, 32
 
 
-def _permuted(kind: str, key: str, cells: str, radices: str) -> str:
-    """SQL of the permuted cells: `cells` and `radices` are SQL arrays of whole numbers of one length, two at least."""
+def _permuted(kind: str, key: str, cells: str, radices: str, tag: str = "") -> str:
+    """SQL of the permuted cells: `cells` and `radices` are SQL arrays of whole numbers of one length, two at least.
+
+    `tag`: SQL of the name of the permutation, if it isn't the kind.
+    """
     add = (
-        "transform(s.l, (a, j) -> (a + cast(conv(substr(sha2(concat_ws('|', '{key}', '{kind}', i, j, array_join(s.m, ','), array_join(s.r, ',')), 256), 1, 14), 16, 10) AS bigint)) % s.m[j])"
-    ).format(key=key.replace("\\", "\\\\").replace("'", "\\'"), kind=kind)
+        "transform(s.l, (a, j) -> (a + cast(conv(substr(sha2(concat_ws('|', '{key}', z.t, i, j, array_join(s.m, ','), array_join(s.r, ',')), 256), 1, 14), 16, 10) AS bigint)) % s.m[j])"
+    ).format(key=key.replace("\\", "\\\\").replace("'", "\\'"))
     half = "cast(size(z.c) / 2 AS int)"
     left, right = (lambda x: f"slice({x}, 1, {half})"), (lambda x: f"slice({x}, {half} + 1, size(z.c))")
     start = f"named_struct('l', {left('z.c')}, 'r', {right('z.c')}, 'm', {left('z.m')}, 'n', {right('z.m')})"
     step = f"(s, i) -> named_struct('l', s.r, 'r', {add}, 'm', s.n, 'n', s.m)"
     # an array of one binds the cells to a name
-    return f"transform(array(named_struct('c', {cells}, 'm', {radices})), z -> aggregate(sequence(1, {ROUNDS}), {start}, {step}, s -> concat(s.l, s.r)))[0]"
+    return f"transform(array(named_struct('c', {cells}, 'm', {radices}, 't', {tag or repr(kind)})), z -> aggregate(sequence(1, {ROUNDS}), {start}, {step}, s -> concat(s.l, s.r)))[0]"
 
 
 def _digits(kind: str, key: str, value: str, first: int, least: dict[int, int] | None = None, n: str = "") -> str:
@@ -56,14 +61,20 @@ def _refilled(value: str, cell: str, cells: str) -> str:
 
 
 def _letters(kind: str, key: str, value: str) -> str:
-    """SQL of `value` with each ASCII digit and letter permuted within its class; lower-case hexadecimals stay such."""
+    """SQL of `value` with each ASCII digit and letter permuted within its class; lower-case hexadecimals stay such.
+
+    Groups of a long value have permutations of their own, by their place and the number of letters and digits.
+    """
     own = f"regexp_extract_all({value}, '[0-9A-Za-z]', 0)"
-    hexa = f"{value} RLIKE '^[0-9a-f]{{8,}}$'"
-    base = "CASE WHEN {h} THEN 0 WHEN c < ':' THEN 48 WHEN c < '[' THEN 65 ELSE 97 END".format(h=hexa)
-    cells = f"transform({own}, c -> cast(IF({hexa}, cast(conv(c, 16, 10) AS int), ascii(c) - {base}) AS bigint))"
-    radices = f"transform({own}, c -> cast(CASE WHEN {hexa} THEN 16 WHEN c < ':' THEN 10 ELSE 26 END AS bigint))"
-    back = f"zip_with({_permuted(kind, key, cells, radices)}, {own}, (d, c) -> IF({hexa}, lower(hex(d)), chr(d + {base})))"
-    return f"IF(size({own}) < 2, {value}, {_refilled(value, '[0-9A-Za-z]', back)})"
+    bound = f"named_struct('o', {own}, 'h', {value} RLIKE '^[0-9a-f]{{8,}}$', 'n', cast(IF(size({own}) > {TOGETHER}, size({own}) div {GROUP}, 1) AS int))"
+    base = "CASE WHEN w.h THEN 0 WHEN c < ':' THEN 48 WHEN c < '[' THEN 65 ELSE 97 END"
+    group = f"slice(w.o, k * {GROUP} + 1, IF(k < w.n - 1, {GROUP}, size(w.o)))"  # the last takes the rest
+    cells = f"transform({group}, c -> cast(IF(w.h, cast(conv(c, 16, 10) AS int), ascii(c) - {base}) AS bigint))"
+    radices = f"transform({group}, c -> cast(CASE WHEN w.h THEN 16 WHEN c < ':' THEN 10 ELSE 26 END AS bigint))"
+    tag = f"IF(w.n = 1, '{kind}', concat('{kind}/', k, '/', size(w.o)))"
+    moved = f"flatten(transform(sequence(0, w.n - 1), k -> {_permuted(kind, key, cells, radices, tag)}))"
+    back = f"zip_with({moved}, w.o, (d, c) -> IF(w.h, lower(hex(d)), chr(d + {base})))"
+    return f"transform(array({bound}), w -> IF(size(w.o) < 2, {value}, {_refilled(value, '[0-9A-Za-z]', back)}))[0]"
 
 
 def _luhn(digits: str, even: bool) -> str:
@@ -104,7 +115,8 @@ def pseudonym(value: str, kind: str, key: str) -> str:
     fits = f"{phone_cells}[0] > '1' AND {phone_cells}[3] > '1'"
     phone = f"transform({_permuted('phone', key, f'transform({phone_cells}, (d, j) -> cast(d AS bigint) - IF({fits}, {low}, 0))', f'transform({phone_cells}, (d, j) -> cast(10 - IF({fits}, {low}, 0) AS bigint))')}, (d, j) -> cast(d + IF({fits}, {low}, 0) AS string))"
     local, tld = f"regexp_extract({value}, '^(.*)[.]', 1)", f"regexp_extract({value}, '([.][^.]*)$', 1)"
-    label, body = f"regexp_extract({value}, '^([^=:]*[=:][ \\\\s]*[\"\\']?)', 1)", f"regexp_extract({value}, '^[^=:]*[=:][ \\\\s]*[\"\\']?(.*)$', 1)"
+    label = f"regexp_extract({value}, '^([^=:]*[=:][ \\\\s]*[\"\\']?)', 1)"
+    body = f"substr({value}, length({label}) + 1)"
     return f"""CASE {kind}
       WHEN 'email' THEN concat({_letters('email', key, local)}, {tld})
       WHEN 'ipv4' THEN array_join(transform({ip}, x -> cast(x AS string)), '.')
