@@ -23,10 +23,11 @@ UNKNOWN = "und"
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
-def ngram_buckets(chars: np.ndarray) -> np.ndarray:
-    """Buckets of all n-grams of the orders, of a run of code points."""
+def ngram_buckets(run: np.ndarray, before: int = 0) -> np.ndarray:
+    """Buckets of the n-grams of the orders, of a run of code points, that end after its first `before`."""
     out = []
     for n in ORDERS:
+        chars = run[max(0, before - n + 1) :]
         if len(chars) >= n:
             h = np.full(len(chars) - n + 1, n, np.uint32)
             for k in range(n):
@@ -36,10 +37,13 @@ def ngram_buckets(chars: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
-def code_points(text: str) -> list[np.ndarray]:
-    """Lower-cased code points in runs of at most BATCH_CHARS; runs overlap so no n-gram is lost or counted twice at large."""
-    chars = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    return [chars[i : i + BATCH_CHARS] for i in range(0, len(chars), BATCH_CHARS)]
+def code_points(text: str) -> list[tuple[np.ndarray, int]]:
+    """Lower-cased code points in runs of at most BATCH_CHARS, behind the last ones of the run before, with their number.
+
+    So each n-gram of the text ends in one run, after what comes from the run before.
+    """
+    chars, over = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4"), max(ORDERS) - 1
+    return [(chars[max(0, i - over) : i + BATCH_CHARS], min(i, over)) for i in range(0, len(chars), BATCH_CHARS)]
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -63,8 +67,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
                         counts.clear()
                     counts[name], texts[name] = np.zeros(1 << BUCKET_BITS, np.int64), 0
                 texts[name] += 1
-                for chars in code_points(t):
-                    counts[name] += np.bincount(ngram_buckets(chars), minlength=1 << BUCKET_BITS)
+                for chars, before in code_points(t):
+                    counts[name] += np.bincount(ngram_buckets(chars, before), minlength=1 << BUCKET_BITS)
         yield from rows()
 
     picked = labelled.select(F.col(text), F.col(lang).cast("string")).dropna()
@@ -111,7 +115,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
 
             def score():
                 if runs:
-                    grams = [ngram_buckets(c) >> np.uint32(fold) for c in runs]
+                    grams = [ngram_buckets(*r) >> np.uint32(fold) for r in runs]
                     lengths = np.array([len(g) for g in grams])
                     sums = np.add.reduceat(log_p[np.concatenate(grams)], np.cumsum(lengths) - lengths, axis=0, dtype=np.float64)
                     np.add.at(total, owners, sums)
@@ -119,8 +123,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
 
             told = [bool(t) and bool(langs) and any(map(str.isalpha, t)) for t in texts]
             for i, t in enumerate(texts):
-                for chars in code_points(t) if told[i] else []:
-                    runs.append(chars)
+                for chars, before in code_points(t) if told[i] else []:
+                    runs.append((chars, before))
                     owners.append(i)
                     size += len(chars)
                     if size >= BATCH_CHARS:

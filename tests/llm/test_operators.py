@@ -118,6 +118,14 @@ def test_token_counts_are_the_library(odd, empty, texts):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_ngrams_across_runs(monkeypatch, size):
+    text = "Some text whose n-grams cross the cuts. é中文"
+    whole = np.sort(language_id.ngram_buckets(np.frombuffer(text.lower().encode("utf-32-le"), "<u4")))
+    monkeypatch.setattr(language_id, "BATCH_CHARS", size)
+    assert (np.sort(np.concatenate([language_id.ngram_buckets(*r) for r in language_id.code_points(text)])) == whole).all()
+
+
 def test_language_id(spark, sf_dir, odd, empty):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = language_id.op4_language_id(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
