@@ -5,9 +5,10 @@ registers are as likely as the sets are similar, and sketches merge by the large
 shingle sets form a class; classes that agree in a band of registers become candidates. A candidate pair is estimated
 jointly from its registers by likelihood, far estimates go, and the rest are confirmed on the full sets.
 
-Within a bucket not all pairs are tried: members first meet the bucket's pivots, then only pairs whose two sides are
-still in different components meet, so large groups of copies cost about as many pairs as they have members and no
-link between different components is left out.
+Within a bucket not all pairs are tried: members first meet the most common pivot, then those that stay outside the
+bucket's most common component meet the members of other components, block by block inside tasks; large buckets try
+some more pivots before. So large groups of copies cost about as many pairs as they have members, and no link between
+different components is left out.
 """
 
 from __future__ import annotations
@@ -33,10 +34,12 @@ _ADD = _rng.integers(0, 1 << 63, _M, dtype=np.uint64)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHAR_BASE = 0xD1342543DE82EF95
 _pow = [np.ones(1, _U64), np.ones(1, _U64)]
-#: Bytes of a stored shingle hash.
-STORED = 6
-#: Buckets of more members are compared block by block, with so many of the outside members and of all in a block.
-LARGE, BLOCK_OUTSIDE, BLOCK_ALL = 64, 64, 256
+#: Members of a bucket that are compared at once: so many of those outside its most common component, and of all.
+BLOCK_OUTSIDE, BLOCK_ALL = 64, 256
+#: Pivots of a bucket with more than BLOCK_OUTSIDE members.
+PIVOTS = 16
+#: Vertices of the link graph are classes, known by their least id and so many values of their fingerprint.
+FINGERPRINTS = 1 << 56
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -109,58 +112,70 @@ def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
 
 
 def sketched(docs: DataFrame, words: int, id_col: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, the set's fingerprint (f1, f2; null if empty), band keys and registers."""
+    """doc_id, row (a hash of the text), n_shingles, the set's fingerprint (f1, f2; null if empty), band keys and registers."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, row, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = shingle_hashes(t, words)
                 if not len(h):
-                    out.append((key, 0, None, None, None, None))
+                    out.append((key, row, 0, None, None, None, None))
                     continue
                 r = registers(h)
                 bands = np.arange(BANDS, dtype=_U64) + _U64(1)
                 for i in range(BAND_ROWS):
                     bands = _mix(bands * _U64(0x9E3779B97F4A7C15) + r.reshape(BANDS, BAND_ROWS)[:, i])
                 m = _mix(h)
-                out.append((key, len(h), int(m.sum(dtype=_U64).astype(np.int64)), int(np.bitwise_xor.reduce(m * _U64(0xD6E8FEB86659FD93)).astype(np.int64)), bands.astype(np.int64), r.tobytes()))
+                out.append((key, row, len(h), int(m.sum(dtype=_U64).astype(np.int64)), int(np.bitwise_xor.reduce(m * _U64(0xD6E8FEB86659FD93)).astype(np.int64)), bands.astype(np.int64), r.tobytes()))
             for i in range(0, len(out), 2000):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*out[i : i + 2000], strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)],
-                    ["doc_id", "n_shingles", "f1", "f2", "bands", "regs"])
+                    [pa.array(c, k) for c, k in zip(zip(*out[i : i + 2000], strict=True), (*(pa.int64(),) * 5, pa.list_(pa.int64()), pa.binary()), strict=True)],
+                    ["doc_id", "row", "n_shingles", "f1", "f2", "bands", "regs"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, regs binary")
+    return docs.select(F.col(id_col).cast("long"), F.xxhash64(text), F.col(text)).mapInArrow(run, "doc_id bigint, row bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, regs binary")
+
+
+def _vertex(rep: str, f1: str):
+    """One number for a class, ordered by its least id first."""
+    return F.expr(f"cast({rep} AS decimal(20, 0)) * {FINGERPRINTS}BD + cast(shiftrightunsigned({f1}, 8) AS decimal(17, 0))").cast("decimal(38,0)")
+
+
+def _least_id(vertex: str):
+    return F.expr(f"cast(({vertex} - pmod({vertex}, {FINGERPRINTS}BD)) / {FINGERPRINTS}BD AS bigint)")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text: str) -> DataFrame:
-    """rep, n, registers and stored hashes of the wanted classes (rep, f1, n, regs)."""
+    """vertex, n, registers and sorted 64-bit hashes of the wanted classes (rep, f1, n, regs)."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for rep, f1, n, regs, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for vertex, f1, n, regs, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = shingle_hashes(t, words)
                 if len(h) == n and int(_mix(h).sum(dtype=_U64).astype(np.int64)) == f1:  # another row may have the same id
-                    kept = np.sort(h & _U64((1 << (8 * STORED)) - 1))
-                    out.append((rep, n, regs, kept.view(np.uint8).reshape(-1, 8)[:, :STORED].tobytes()))
+                    out.append((vertex, n, regs, h.astype("<u8").tobytes()))
             for i in range(0, len(out), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 500], strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["rep", "n", "regs", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 500], strict=True), (pa.decimal128(38, 0), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["vertex", "n", "regs", "hashes"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text).alias("__text"))
-    found = texts.join(wanted, texts["__id"] == wanted["rep"]).select("rep", "f1", "n", "regs", "__text")
-    return found.mapInArrow(run, "rep bigint, n bigint, regs binary, hashes binary")
+    found = texts.join(wanted, texts["__id"] == wanted["rep"]).select("vertex", "f1", "n", "regs", "__text")
+    return found.mapInArrow(run, "vertex decimal(38,0), n bigint, regs binary, hashes binary")
+
+
+def _shared(a: bytes, b: bytes) -> int:
+    """Hashes that two stored sets share; both are sorted and without repetition."""
+    return len(np.intersect1d(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), assume_unique=True))
 
 
-def _unpacked(stored: bytes) -> np.ndarray:
-    out = np.zeros((len(stored) // STORED, 8), np.uint8)
-    out[:, :STORED] = np.frombuffer(stored, np.uint8).reshape(-1, STORED)
-    return out.view(_U64).ravel()
+def _spread(percent: int) -> float:
+    """Six standard deviations of an estimate at the threshold."""
+    return 6 * np.sqrt(percent / 100 * (1 - percent / 100) / _M)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) with whether they are linked: 100 * intersection >= percent * union of the full sets."""
-    spread = 6 * np.sqrt(percent / 100 * (1 - percent / 100) / _M)
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of the pairs of vertices (a, b): 100 * intersection >= percent * union of the full sets."""
+    spread = _spread(percent)
 
     def run(batches):
         for batch in batches:
@@ -169,147 +184,138 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Da
             guess = estimate(*regs, np.array([r["na"] for r in rows], float), np.array([r["nb"] for r in rows], float))
             linked = []
             for r, j in zip(rows, guess, strict=True):
-                if j < percent / 100 - spread:
-                    linked.append(False)
-                    continue
-                both = len(np.intersect1d(_unpacked(r["ha"]), _unpacked(r["hb"]), assume_unique=True))
+                both = _shared(r["ha"], r["hb"]) if j >= percent / 100 - spread else 0
                 linked.append(100 * both >= percent * (r["na"] + r["nb"] - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            yield batch.select(["a", "b"]).rename_columns(["u", "v"]).filter(pa.array(linked, pa.bool_()))
 
     def side(s: str) -> DataFrame:
-        return sets.select(F.col("rep").alias(f"{s}_rep"), F.col("n").alias(f"n{s}"), F.col("regs").alias(f"r{s}"), F.col("hashes").alias(f"h{s}"))
+        return sets.select(F.col("vertex").alias(f"{s}_vertex"), F.col("n").alias(f"n{s}"), F.col("regs").alias(f"r{s}"), F.col("hashes").alias(f"h{s}"))
 
-    full = pairs.join(side("a"), F.col("a") == F.col("a_rep")).join(side("b"), F.col("b") == F.col("b_rep"))
+    full = pairs.join(side("a"), F.col("a") == F.col("a_vertex")).join(side("b"), F.col("b") == F.col("b_vertex"))
     with small_batches(pairs.sparkSession, 128):
-        return written(full.select("a", "b", "na", "nb", "ra", "rb", "ha", "hb").mapInArrow(run, "a bigint, b bigint, linked boolean").distinct(), name)
+        return written(full.select("a", "b", "na", "nb", "ra", "rb", "ha", "hb").mapInArrow(run, "u decimal(38,0), v decimal(38,0)"), "links")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of `docs`: doc_id, n_shingles, component_id (least id reachable over links) and kept (its own component_id).
+    """Per row of `docs`: doc_id, n_shingles, component_id (least id reachable over links), kept (its own component_id),
+    and two columns that tell rows and components apart where ids repeat: row (a hash of the text) and component.
 
-    Null, empty and blank texts have no shingles and are linked with nothing: they are components of their own. Rows
-    with a null id take no part; their component_id is null and they are kept. Repeated ids are kept apart by text and
-    share a result if their texts do. Other columns are left out; an empty table gives no rows.
+    Null, empty and blank texts have no shingles and are linked with nothing: they are components of their own, with
+    null in `component`. Rows with a null id take no part; their component_id is null and they are kept. Rows that
+    repeat an id are linked by their own texts and share a result if these have one set. Other columns are left out;
+    an empty table gives no rows.
     """
     rows = written(sketched(docs, words, id_col, text), "sketches")
-    classes = written(
-        rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("regs").alias("regs")),
-        "classes")
-    banded = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
-    priority, own = F.xxhash64("rep"), F.xxhash64("key", "rep")
-    pivots = banded.groupBy("key").agg(F.min(F.struct(priority.alias("p"), "rep")).alias("x"), F.min(F.struct(own.alias("p"), "rep")).alias("y"), F.count("*").alias("size"))
-    pivots = pivots.where("size > 1").select(F.col("key").alias("k"), F.col("x.p").alias("p"), F.col("x.rep").alias("pivot"), F.col("y.rep").alias("other"))
-    members = written(banded.join(pivots, F.col("key") == F.col("k")).select("key", "band", "rep", "n", "p", "pivot", "other"), "members")
-    in_buckets = members.select("rep").distinct().withColumnRenamed("rep", "r")
-    wanted = classes.join(in_buckets, F.col("rep") == F.col("r")).select("rep", "f1", "n", "regs")
+    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("regs").alias("regs"))
+    classes = written(classes.withColumn("vertex", _vertex("rep", "f1")), "classes")
+    banded = classes.select("vertex", "n", F.posexplode("bands").alias("band", "key"))
+    pivots = banded.withColumn("p", F.xxhash64("vertex")).groupBy("key").agg(F.min("p").alias("p"), F.min_by("vertex", "p").alias("pivot"), F.count("*").alias("size"))
+    pivots = pivots.where("size > 1").select(F.col("key").alias("k"), "p", "pivot")
+    members = written(banded.join(pivots, F.col("key") == F.col("k")).drop("k"), "members")
+    in_buckets = members.select(F.col("vertex").alias("in_bucket")).distinct()
+    wanted = classes.join(in_buckets, F.col("vertex") == F.col("in_bucket"), "left_semi").select("vertex", "rep", "f1", "n", "regs")
     sets = written(_sets(docs, wanted, words, id_col, text), "sets")
 
     # the most common pivot of each member
-    first = members.where("rep <> pivot").groupBy("rep").agg(F.min(F.struct("p", "pivot")).alias("x")).select(F.col("rep").alias("a"), F.col("x.pivot").alias("b"))
-    tried = _confirmed(first, sets, percent, "tried")
-    found = components(tried.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    # every bucket's own pivots, where the component isn't the pivot's yet
-    met = members.where("rep <> pivot").select("rep", F.col("pivot").alias("to")).unionByName(members.where("rep <> other").select("rep", F.col("other").alias("to"))).distinct()
-    second = _apart(met.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct(), found)
-    tried, found = _more(second, tried, found, sets, percent)
-
-    # buckets that still hold several components: members outside the pivot's component against all others
+    first = members.where("vertex <> pivot").groupBy(F.col("vertex").alias("a")).agg(F.min_by("pivot", "p").alias("b"))
+    links = _links(first, sets, percent)
+    found = components(links, "pivot-components")
+
+    # large buckets that still hold several components: all members against some pivots more
+    marked = _open_members(members, found)
+    spread_over = F.pmod(F.xxhash64("vertex", F.lit(5)), F.lit(PIVOTS))
+    large = marked.where(F.col("size") > BLOCK_OUTSIDE)
+    chosen = large.withColumn("p", F.xxhash64("vertex", F.lit(6))).groupBy(F.col("key").alias("k"), spread_over).agg(F.min_by("vertex", "p").alias("pivot"), F.min_by("c", "p").alias("pivot_c"))
+    pairs = large.join(chosen, (F.col("key") == F.col("k")) & (F.col("c") != F.col("pivot_c"))).select(F.col("vertex").alias("a"), F.col("pivot").alias("b")).distinct()
+    more = _links(pairs, sets, percent)
+    if not more.isEmpty():
+        found = components(found.select(F.col("v").alias("u"), F.col("component").alias("v")).unionByName(more), "large-components")
+        marked = _open_members(members, found)
+
+    # members outside the pivot's component against those of other components
+    more = _links_in_blocks(marked, sets, percent)
+    if not more.isEmpty():
+        found = components(found.select(F.col("v").alias("u"), F.col("component").alias("v")).unionByName(more))
+
+    known = classes.select("f1", "f2", "vertex").join(found, F.col("vertex") == F.col("v"), "left").select(F.col("f1").alias("c1"), F.col("f2").alias("c2"), F.coalesce("component", "vertex").alias("component"))
+    out = rows.join(known, (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")) & F.col("doc_id").isNotNull(), "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce(_least_id("component"), "doc_id").alias("component_id"), "row", "component")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "row", "component")
+
+
+def _open_members(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with their component c and whether it isn't the bucket's most
+    common one; `size` and `outs` count the bucket's members and those outside its most common component."""
     at = found.select(F.col("v").alias("c_v"), "component")
-    marked = members.select("key", "band", "rep", "n", "pivot").join(at, F.col("rep") == F.col("c_v"), "left").select("key", "band", "rep", "n", "pivot", F.coalesce("component", "rep").alias("c"))
-    marked = marked.join(at, F.col("pivot") == F.col("c_v"), "left").select("key", "band", "rep", "n", "c", (F.col("c") != F.coalesce("component", "pivot")).alias("outside"))
+    marked = members.join(at, F.col("vertex") == F.col("c_v"), "left").select("key", "band", "vertex", F.coalesce("component", "vertex").alias("c"))
     marked = written(marked, "marked")
-    sizes = marked.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.col("outside").cast("int")).alias("outs")).where("outs > 0").withColumnRenamed("key", "k")
-    marked = written(marked.join(sizes, F.col("key") == F.col("k")).drop("k"), "open-members")
-    small = marked.where(F.col("size") <= LARGE)
-    left = small.where("outside").select("key", F.col("rep").alias("a0"), F.col("n").alias("a_n"), F.col("c").alias("a_c"))
-    right = small.select(F.col("key").alias("k"), F.col("rep").alias("b0"), F.col("n").alias("b_n"), F.col("c").alias("b_c"))
-    near = (F.col("key") == F.col("k")) & (F.col("a_c") != F.col("b_c")) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-    third = left.join(right, near).select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")).distinct()
-    links = _links_in_blocks(marked.where(F.col("size") > LARGE), sets, percent)
-    tried, found = _more(third, tried, found, sets, percent, links)
-
-    known = classes.select("f1", "f2", "rep").join(found, F.col("rep") == F.col("v"), "left").select(F.col("f1").alias("c1"), F.col("f2").alias("c2"), F.coalesce("component", "rep").alias("c"))
-    out = rows.select("doc_id", "n_shingles", "f1", "f2").join(known, (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose sides lie in different components."""
-    a = found.select(F.col("v").alias("va"), F.col("component").alias("ca"))
-    b = found.select(F.col("v").alias("vb"), F.col("component").alias("cb"))
-    both = pairs.join(a, F.col("a") == F.col("va"), "left").join(b, F.col("b") == F.col("vb"), "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
-def _more(pairs: DataFrame, tried: DataFrame, found: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Confirms the pairs that haven't been tried, and the components with their links and the given ones."""
-    old = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    new = written(pairs.join(old, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), "pairs")
-    if not new.isEmpty():
-        more = _confirmed(new, sets, percent, "tried")
-        tried = tried.unionByName(more)
-        more = more.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = more if links is None else links.unionByName(more)
-    if links is None or links.isEmpty():
-        return tried, found
-    return tried, components(found.select(F.col("v").alias("u"), F.col("component").alias("v")).unionByName(links))
+    most = marked.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("k")).agg(F.max_by("c", "n").alias("main"), F.sum("n").alias("size"), F.max("n").alias("n"))
+    most = most.where("n < size").select("k", "main", "size", (F.col("size") - F.col("n")).alias("outs"))
+    return written(marked.join(most, F.col("key") == F.col("k")).select("key", "band", "vertex", "c", (F.col("c") != F.col("main")).alias("outside"), "size", "outs"), "open")
 
 
 def _links_in_blocks(marked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between members outside the pivot's component and members of other components of large buckets.
+    """Links (u, v) between members outside their bucket's most common component and members of other components.
 
     Both are dealt into blocks of bounded size whose registers and sets meet block by block, so a large bucket is spread
-    over tasks and its pairs never become rows. A pair that shares several bands is compared in the first of them.
+    over tasks and its pairs never become rows. A pair that shares several bands is compared in the first of them: in
+    a bucket without outside members all have one component.
     """
-    fields = ["rep", "n", "c", "regs", "hashes"]
-    own = sets.select(F.col("rep").alias("r"), "regs", "hashes")
+    own = sets.select(F.col("vertex").alias("own"), "n", "regs", "hashes")
+    full = written(marked.join(own, F.col("vertex") == F.col("own")).drop("own"), "open-members")
+    member = F.struct("vertex", "c", "n", "regs", "hashes")
 
     def blocks(rows: DataFrame, total: str, size: int, name: str) -> DataFrame:
-        dealt = rows.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.ceil(F.col(total) / size)))
-        return dealt.join(own, F.col("rep") == F.col("r")).groupBy("key", "band", "block", "size").agg(F.collect_list(F.struct(*fields)).alias(name))
-
-    outside = blocks(marked.where("outside"), "outs", BLOCK_OUTSIDE, "some").select("key", "band", "some", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / BLOCK_ALL) - 1).cast("int"))).alias("to"))
-    every = blocks(marked, "size", BLOCK_ALL, "all").select(F.col("key").alias("k"), F.col("block").cast("int").alias("at"), "all")
-    spread = 6 * np.sqrt(percent / 100 * (1 - percent / 100) / _M)
+        dealt = rows.withColumn("block", F.pmod(F.xxhash64("vertex", F.lit(3)), F.ceil(F.col(total) / size)).cast("int"))
+        return dealt.groupBy("key", "band", "block", "size").agg(F.collect_list(member).alias(name))
+
+    outside = blocks(full.where("outside"), "outs", BLOCK_OUTSIDE, "some").select("key", "band", "some", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / BLOCK_ALL) - 1).cast("int"))).alias("to"))
+    every = blocks(full, "size", BLOCK_ALL, "all").select(F.col("key").alias("k"), F.col("band").alias("of"), F.col("block").alias("at"), "all")
+    spread = _spread(percent)
+
+    def compared(band: int, some: list[dict], others: list[dict]):
+        ra, rb = (np.frombuffer(b"".join(x["regs"] for x in side), "<u2").reshape(-1, _M) for side in (some, others))
+        na, nb = (np.array([x["n"] for x in side], float) for side in (some, others))
+        parent: dict = {}
+
+        def root(c):
+            while (p := parent.setdefault(c, c)) != c:
+                c = p
+            return c
+
+        todo: list[tuple[np.ndarray, np.ndarray]] = []
+        cut = band * BAND_ROWS
+        for i, x in enumerate(some):
+            fits = (rb[:, cut : cut + BAND_ROWS] == ra[i, cut : cut + BAND_ROWS]).all(1) & (100 * np.minimum(nb, na[i]) >= percent * np.maximum(nb, na[i]))
+            at = np.array([j for j in np.flatnonzero(fits).tolist() if others[j]["c"] != x["c"]], int)
+            at = at[(rb[at, :cut] == ra[i, :cut]).reshape(len(at), band, BAND_ROWS).all(2).sum(1) == 0]
+            todo.append((np.full(len(at), i), at))
+        i, j = (np.concatenate(x) for x in zip(*todo, strict=True))
+        guess = estimate(ra[i], rb[j], na[i], nb[j]) if len(i) else np.empty(0)
+        for k in np.argsort(-guess):
+            x, y = some[i[k]], others[j[k]]
+            if guess[k] < percent / 100 - spread:
+                return
+            a, b = root(x["c"]), root(y["c"])
+            if a == b:
+                continue  # one link between two components is enough
+            both = _shared(x["hashes"], y["hashes"])
+            if 100 * both >= percent * (x["n"] + y["n"] - both):
+                parent[a] = b
+                yield x["vertex"], y["vertex"]
 
     def run(batches):
         for batch in batches:
-            out = []
-            for band, some, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ra, rb = (np.frombuffer(b"".join(x["regs"] for x in side), "<u2").reshape(-1, _M) for side in (some, others))
-                na, nb = (np.array([x["n"] for x in side], float) for side in (some, others))
-                ca, cb = (np.array([x["c"] for x in side]) for side in (some, others))
-                sa, sb = ([_unpacked(x["hashes"]) for x in side] for side in (some, others))
-                todo: list[tuple[np.ndarray, np.ndarray]] = []
-                for i in range(len(some)):
-                    equal = rb == ra[i]
-                    at = np.flatnonzero((equal[:, band * BAND_ROWS : (band + 1) * BAND_ROWS].all(1)) & (cb != ca[i]) & (100 * np.minimum(nb, na[i]) >= percent * np.maximum(nb, na[i])))
-                    at = at[equal[at, : band * BAND_ROWS].reshape(len(at), band, BAND_ROWS).all(2).sum(1) == 0]
-                    todo.append((np.full(len(at), i), at))
-                i, j = (np.concatenate(x) for x in zip(*todo, strict=True))
-                guess = estimate(ra[i], rb[j], na[i], nb[j]) if len(i) else np.empty(0)
-                linked: set[tuple[int, int]] = set()
-                for k in np.argsort(-guess):
-                    x, y, pair = i[k], j[k], (int(i[k]), int(cb[j[k]]))
-                    if guess[k] < percent / 100 - spread:
-                        break
-                    if pair in linked:
-                        continue  # one link to a component is enough
-                    both = len(np.intersect1d(sa[x], sb[y], assume_unique=True))
-                    if 100 * both >= percent * (na[x] + nb[y] - both):
-                        linked.add(pair)
-                        out.append((some[x]["rep"], others[y]["rep"]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
-
-    met = outside.join(every, (F.col("key") == F.col("k")) & (F.col("to") == F.col("at"))).select("band", "some", "all")
+            out = [link for band, some, others in zip(*(c.to_pylist() for c in batch.columns), strict=True) for link in compared(band, some, others)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[side] for x in out], pa.decimal128(38, 0)) for side in (0, 1)], ["u", "v"])
+
+    met = outside.join(every, (F.col("key") == F.col("k")) & (F.col("band") == F.col("of")) & (F.col("to") == F.col("at"))).select("band", "some", "all")
     with small_batches(marked.sparkSession, 8):
-        return written(met.mapInArrow(run, "u bigint, v bigint").distinct(), "block-links")
+        return written(met.mapInArrow(run, "u decimal(38,0), v decimal(38,0)"), "block-links")
 
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"), words=2)
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=2).drop("row", "component")
 
 
 OP3_SQL = r"""

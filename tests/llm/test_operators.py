@@ -172,7 +172,7 @@ def families(seed: int) -> list[str]:
 
 @pytest.mark.parametrize("large", [64, 3])
 def test_near_duplicates(spark, odd, empty, monkeypatch, large):
-    for name, value in (("LARGE", large), ("BLOCK_OUTSIDE", 5), ("BLOCK_ALL", 7)):
+    for name, value in (("BLOCK_OUTSIDE", large), ("BLOCK_ALL", large + 4)):
         monkeypatch.setattr(near_dups, name, value)
     docs = families(large) + [t for t in ODD if t is None or len(t) < 1000]
     sets = []
