@@ -1,12 +1,13 @@
 """A content-addressed store of token ids.
 
 A rolling hash over the ids cuts each document's stream into chunks; a chunk is stored once under its SHA-256. A
-document's recipe lists its chunks with their end positions, and recipes stand in ascending id order with the number
-of ids before them. Merkle roots (over a document's chunks, then over ranges of documents, level by level up to one
-root) verify what is read.
+document's recipe lists its chunks with their end positions; recipes stand in ascending id order, in parts that follow
+each other. The manifest holds Merkle roots: over ranges of 2^12 recipes of a part, over a part's ranges and over all
+parts, each with its counts. What is read is checked against it.
 
 Layout of a store folder: `data/kind=chunk` (key, payload), `data/kind=doc` (unordered recipes, the writer's own
-notes), `recipes` (doc_id, start, n_tokens, ends, digests, root), `manifest` (level, block, n_docs, n_tokens, root).
+notes), `recipes` (part, at, doc_id, start within the part, n_tokens, ends, digests, root), `manifest` (level, part,
+block, n_docs, n_tokens, start, id_bytes, root).
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, prefix_sums, read_table
-from .vocab import Memory, broadcast_file, built, stem, words
+from .common import new_folder, read_table, ship, written
+from .vocab import Memory, broadcast_file, built, stem
 
 #: Ids under the rolling hash, and chunk lengths: 2^MEAN_BITS expected beyond the least.
 WINDOW, LEAST, MEAN_BITS, MOST = 16, 128, 9, 4096
@@ -32,37 +34,87 @@ MANIFEST_BITS = 12
 DATA = "kind string, key binary, doc_id bigint, n_tokens bigint, ends array<int>, digests array<binary>, root binary, payload binary"
 
 
+#: Characters of texts that are cut into words at once.
+SLICE_CHARS = 1 << 22
+
+
 class IdEncoder:
-    """Token ids of whole texts by the tokenizers library, as packed little-endian integers."""
+    """Token ids of whole texts by the tokenizers library.
+
+    Texts whose white space is single spaces and newlines between words are cut there, as no piece of the byte-level
+    pattern reaches over it, and each distinct word is encoded once; other texts go to the library whole.
+    """
 
     def __init__(self, raw: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.code, self.dtype = ("I", np.dtype("<u4")) if wide else ("H", np.dtype("<u2"))
-        self.memory, self.stops = Memory(self._words), {c: self.whole([c])[0] for c in ",."}
-
-    def _words(self, new: list[str]) -> list[bytes]:
-        stems = [stem(w) for w in new]
-        out = {s: self.memory.known.get(s) for s in stems}
-        missing = [s for s, x in out.items() if x is None]
-        out.update(zip(missing, self.whole([w[1:] if w[:1] == "\0" else w if w[:1] == "\n" else " " + w for w in missing]), strict=True))
-        self.memory.remember({s: out[s] for s in missing})
-        return [out[s] if s == w else out[s] + self.stops[w[-1]] for s, w in zip(stems, new, strict=True)]
+        pre = self.tokenizer.pre_tokenizer
+        self.by_words = isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space and self.tokenizer.normalizer is None
+        self.memory, self.ends = Memory(self._words), {c: self.whole([c])[0] for c in ",.\n"}
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in such vocabularies
+        self.stand_in = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids(self, text: str) -> np.ndarray:
-        cut = None if "\0" in text or any(s in text for s in self.special) else words(text)
-        if cut is None:
-            return np.frombuffer(self.whole([text])[0], self.dtype)
-        if cut[0][:1] != "\n":
-            cut[0] = "\0" + cut[0]
-        return np.frombuffer(b"".join(self.memory.look_up(cut)), self.dtype)
+    def _words(self, new: list[str]) -> list[bytes]:
+        """Ids of words: led by a newline, by a zero byte at the start of a text, else by a space. No ids: not a word."""
+        out, rest = [b""] * len(new), []
+        tokenize = self.tokenizer.model.tokenize
+        for i, w in enumerate(new):
+            body = w[1:] if w[:1] in ("\n", "\0") else w
+            if body.split() != [body]:
+                continue
+            word = stem(body)
+            if word.isalpha() and max(word) < "\u0250":  # letters since the first Unicode versions: one piece
+                piece = word if word.isascii() else word.encode().decode("latin-1").translate(self.stand_in)
+                ids = array(self.code, [t.id for t in tokenize(piece if body is not w else "Ġ" + piece)]).tobytes()
+                out[i] = (self.ends["\n"] if w[0] == "\n" else b"") + ids + (b"" if word is body else self.ends[body[-1]])
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, self.whole([new[i].removeprefix("\0") if new[i][0] in "\n\0" else " " + new[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        out = [np.empty(0, self.dtype)] * len(texts)
+        held, size = [], 0
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if not self.by_words or "\0" in t or any(s in t for s in self.special):
+                out[i] = np.frombuffer(self.whole([t])[0], self.dtype)
+                continue
+            held.append(i)
+            size += len(t)
+            if size >= SLICE_CHARS:
+                self._by_words(texts, held, out)
+                held, size = [], 0
+        if held:
+            self._by_words(texts, held, out)
+        return out
+
+    def _by_words(self, texts: list[str], held: list[int], out: list[np.ndarray]) -> None:
+        cut = pc.split_pattern(pa.array(["\0" + texts[i].replace("\n", " \n") for i in held], pa.large_string()), " ")
+        distinct = cut.flatten().dictionary_encode()
+        known = self.memory.look_up(distinct.dictionary.to_pylist())
+        lengths = np.array([len(x) for x in known]) // self.dtype.itemsize
+        starts, data = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(known), self.dtype)
+        at = distinct.indices.to_numpy()
+        n = lengths[at]
+        ends = np.cumsum(n)
+        ids = data[np.repeat(starts[at] - ends + n, n) + np.arange(int(ends[-1]))]
+        first = cut.offsets.to_numpy()
+        odd = np.logical_or.reduceat(n == 0, first[:-1])
+        bounds = np.append(0, ends)[first]
+        for k, i in enumerate(held):
+            out[i] = np.frombuffer(self.whole([texts[i]])[0], self.dtype) if odd[k] else ids[bounds[k] : bounds[k + 1]]
 
 
 _powers = np.ones(1, _U64), np.ones(1, _U64)
@@ -145,7 +197,9 @@ def write_store(docs: DataFrame, path: str, vocab_path: str, end_id: int = 0, id
     Null and empty texts give just the end id. Equal ids are ordered by root and kept apart; rows with a null id come
     first. Other columns are left out. An empty table gives an empty store.
     """
-    data = broadcast_file(docs.sparkSession, vocab_path)
+    spark = docs.sparkSession
+    ship(spark)
+    data = broadcast_file(spark, vocab_path)
     names = ["kind", "key", "doc_id", "n_tokens", "ends", "digests", "root", "payload"]
     kinds = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary(), pa.binary()]
 
@@ -156,8 +210,8 @@ def write_store(docs: DataFrame, path: str, vocab_path: str, end_id: int = 0, id
         task = TaskContext.get().partitionId()
         for batch in batches:
             out: list[tuple] = []
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(encoder.ids(t) if t else np.empty(0, encoder.dtype), np.array(end_id, encoder.dtype))
+            for key, found in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1).to_pylist()), strict=True):
+                ids = np.append(found, np.array(end_id, encoder.dtype))
                 ends, digests, last = chunk_ends(ids), [], 0
                 for end in ends:
                     payload = ids[last:end].tobytes()
@@ -171,31 +225,72 @@ def write_store(docs: DataFrame, path: str, vocab_path: str, end_id: int = 0, id
             for i in range(0, len(out), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 2000], strict=True), kinds, strict=True)], names)
 
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, DATA).dropDuplicates(["kind", "key"])
+    # dealt out first, so that payloads are sorted once
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, DATA).repartition("key").dropDuplicates(["kind", "key"])
     rows.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/data")
-    spark = docs.sparkSession
-    notes = spark.read.schema(DATA).parquet(f"{path}/data").where("kind = 'doc'").select("doc_id", "n_tokens", "ends", "digests", "root")
-    recipes = prefix_sums(notes, "doc_id", "n_tokens", "start", tie=F.col("root"))
-    recipes = recipes.select("doc_id", "start", "n_tokens", "ends", "digests", "root")
-    recipes.repartitionByRange(F.col("doc_id"), F.col("start")).sortWithinPartitions("doc_id", "start").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    manifest(spark, path).write.option("compression", "zstd").parquet(f"{path}/manifest")
+    notes = spark.read.schema(DATA).parquet(f"{path}/data").where("kind = 'doc'").select("key", "doc_id", "n_tokens", "ends", "digests", "root")
+    order = ["doc_id", "root", "key"]
+    notes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_numbered, RECIPES).write.option("compression", "zstd").parquet(f"{path}/recipes")
+    wide = built_width(spark, vocab_path)
+    manifest(spark, path).withColumn("id_bytes", F.lit(wide)).write.option("compression", "zstd").parquet(f"{path}/manifest")
+
+
+def built_width(spark: SparkSession, vocab_path: str) -> int:
+    """Bytes of a stored id."""
+    with open(vocab_path, "rb") as f:
+        return IdEncoder(f.read()).dtype.itemsize
+
+
+RECIPES = "part int, at bigint, doc_id bigint, start bigint, n_tokens bigint, ends array<int>, digests array<binary>, root binary"
+
+
+def _numbered(batches):
+    """Numbers the sorted rows of a part and sums up their tokens."""
+    from pyspark import TaskContext
+
+    part, at, start = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        n = batch.column(2).to_numpy()
+        ends = np.cumsum(n) + start
+        places = [pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(at, at + len(n))), batch.column(1), pa.array(ends - n)]
+        yield pa.RecordBatch.from_arrays([*places, *(batch.column(i) for i in range(2, 6))], ["part", "at", "doc_id", "start", "n_tokens", "ends", "digests", "root"])
+        at, start = at + len(n), int(ends[-1]) if len(n) else start
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Roots of ranges of 2^12 document ids, of 2^24, and so on up to the root of the store."""
+    """Roots and counts of the store's recipes: level 1, ranges of 2^12 of a part; level 2, parts; level 3, the store.
+
+    Parts are as many as the writer's partitions, so their table is small; `start` counts the ids of the parts before.
+    """
     leaf = F.sha2(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "start", "n_tokens", F.hex("root")), 256)
-    nodes = spark.read.parquet(f"{path}/recipes").select(F.col("doc_id").alias("block"), F.lit(1).cast("long").alias("n_docs"), "n_tokens", F.col("start").alias("at"), leaf.alias("root"))
-    out = None
-    for level in range(1, 64 // MANIFEST_BITS + 2):
-        whole = level * MANIFEST_BITS >= 64
-        block = F.lit(0).cast("long") if whole else F.shiftright("block", MANIFEST_BITS)
-        nodes = nodes.groupBy(block.alias("block")).agg(
-            F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("at").alias("at"),
-            F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "root"))), lambda x: x["root"]), ","), 256).alias("root"),
-        )
-        part = nodes.select(F.lit(level).alias("level"), "block", "n_docs", "n_tokens", "root")
-        out = part if out is None else out.unionByName(part)
-    return out
+    nodes = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("part", F.shiftright("at", MANIFEST_BITS).alias("block"), "at", "n_tokens", F.lit(1).cast("long").alias("n_docs"), leaf.alias("root"))
+
+    def level(nodes: DataFrame, n: int, at: str, *keys: str) -> DataFrame:
+        root = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, "root"))), lambda x: x["root"]), ","), 256)
+        sums = nodes.groupBy(*keys).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), root.alias("root"))
+        free = [F.lit(None).cast("bigint" if k == "block" else "int").alias(k) for k in ("part", "block") if k not in keys]
+        return sums.select(F.lit(n).alias("level"), "*", *free)
+
+    blocks = written(level(nodes, 1, "at", "part", "block"), "manifest-blocks")
+    parts = level(blocks, 2, "block", "part")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    top = level(parts, 3, "part").where("n_docs > 0")
+    names = ["level", "part", "block", "n_docs", "n_tokens", "start", "root"]
+    with_start = parts.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    return with_start.select(*names).unionByName(blocks.withColumn("start", F.lit(None).cast("long")).select(*names)).unionByName(top.withColumn("start", F.lit(0).cast("long")).select(*names))
+
+
+def _recipes(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The recipes with `start` counted from the store's first id, and the bytes of an id; checked against the manifest."""
+    stored = spark.read.parquet(f"{path}/manifest")
+    now, then = manifest(spark, path), stored.drop("id_bytes")
+    found = now.withColumn("sign", F.lit(1)).unionByName(then.withColumn("sign", F.lit(-1)))
+    if not found.groupBy(*then.columns).agg(F.sum("sign").alias("d")).where("d <> 0").isEmpty():
+        raise ValueError(f"the recipes under {path} don't agree with the manifest")
+    width = stored.agg(F.max("id_bytes")).first()[0] or 2
+    parts = F.broadcast(stored.where("level = 2").select(F.col("part").alias("of"), F.col("start").alias("base")))  # a row for each writing task
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes").join(parts, F.col("part") == F.col("of"))
+    return recipes.select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ends", "digests", "root"), width
 
 
 def _exploded(recipes: DataFrame) -> DataFrame:
@@ -215,13 +310,15 @@ def _exploded(recipes: DataFrame) -> DataFrame:
     return recipes.select("doc_id", "start", "n_tokens", "ends", "digests", "root").mapInArrow(run, "doc_id bigint, start bigint, digest binary, end int, after bigint, sound boolean")
 
 
-def verified(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
+def verified(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the store: doc_id, start, n_tokens and ids_crc32, from the stored chunks.
 
     Every chunk is read once, checked against its digest and reduced to its CRC-32; documents put their chunks' CRCs
-    together in the order of their recipes, so chunks themselves aren't moved. A digest, root or length that doesn't
-    hold raises an error.
+    together in the order of their recipes, so chunks themselves aren't moved. A recipe that is lost, changed or moved,
+    a digest, root or length that doesn't hold raises an error.
     """
+    ship(spark)
+    recipes, id_bytes = _recipes(spark, path)
 
     def facts(batches):
         for batch in batches:
@@ -240,7 +337,7 @@ def verified(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3, 4)), pa.array(term, pa.int64())], ["doc_id", "start", "sound", "n", "term"])
 
     chunks = spark.read.schema(DATA).parquet(f"{path}/data").where("kind = 'chunk'").select("key", "payload").mapInArrow(facts, "digest binary, n bigint, crc bigint, ok boolean")
-    parts = _exploded(spark.read.parquet(f"{path}/recipes")).join(chunks, "digest", "left")
+    parts = _exploded(recipes).join(chunks, "digest", "left")
     parts = parts.select("doc_id", "start", "after", (F.col("sound") & F.coalesce("ok", F.lit(False))).alias("sound"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc"))
     terms = parts.mapInArrow(placed, "doc_id bigint, start bigint, sound boolean, n bigint, term bigint")
     out = terms.groupBy("doc_id", "start").agg(F.sum("n").alias("n_tokens"), F.expr("bit_xor(term)").alias("ids_crc32"), F.bool_and("sound").alias("sound"))
@@ -248,8 +345,10 @@ def verified(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
     return out.select("doc_id", "start", checked.alias("n_tokens"), "ids_crc32")
 
 
-def read_ids(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Per document: doc_id, start and its list `ids`, put together from its chunks."""
+    ship(spark)
+    recipes, id_bytes = _recipes(spark, path)
 
     def unpack(batches):
         for batch in batches:
@@ -257,7 +356,7 @@ def read_ids(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
     chunks = spark.read.schema(DATA).parquet(f"{path}/data").where("kind = 'chunk'").select(F.col("key").alias("digest"), "payload")
-    parts = _exploded(spark.read.parquet(f"{path}/recipes")).join(chunks, "digest", "left")
+    parts = _exploded(recipes).join(chunks, "digest", "left")
     whole = parts.groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("end", "payload"))).alias("p"))
     return whole.select("doc_id", "start", F.col("p.payload").alias("p")).mapInArrow(unpack, "doc_id bigint, start bigint, ids array<int>")
 

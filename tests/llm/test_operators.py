@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import random
+import shutil
 import zlib
 
 import numpy as np
@@ -64,9 +65,17 @@ def test_token_store(spark, odd, empty, tmp_path):
         assert got[at].ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
         at += len(want)
     assert len(got) == len(order)
-    assert spark.read.parquet(f"{path}/manifest").where("level = 6").first().n_tokens == at
+    assert [(r.n_docs, r.n_tokens) for r in spark.read.parquet(f"{path}/manifest").where("level = 3").collect()] == [(len(order), at)]
     chunks = spark.read.parquet(f"{path}/data").where("kind = 'chunk'")
     assert chunks.count() == chunks.select("key").distinct().count()
+    recipes = spark.read.parquet(f"{path}/recipes")
+    lost, moved = str(tmp_path / "lost"), str(tmp_path / "moved")
+    for other, rows in ((lost, recipes.where("doc_id IS NULL OR doc_id <> 5")), (moved, recipes.withColumn("doc_id", F.when(F.col("doc_id") == 5, F.lit(6)).otherwise(F.col("doc_id"))))):
+        for part in ("data", "manifest"):
+            shutil.copytree(f"{path}/{part}", f"{other}/{part}")
+        rows.write.parquet(f"{other}/recipes")
+        with pytest.raises(ValueError, match="manifest"):
+            token_store.verified(spark, other)
     token_store.write_store(empty, path + "-empty", vocab)
     assert token_store.verified(spark, path + "-empty").count() == 0
 
