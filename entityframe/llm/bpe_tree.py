@@ -10,17 +10,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, ship
 from .vocab import Memory, Pieces, broadcast_file, built, words
 
-#: Up to this many bytes the lowest-ranked merges are done directly.
-LEAF_BYTES = 16
+#: Up to this many bytes the lowest-ranked merges are done directly; ids that decoding joins at a leaf.
+LEAF_BYTES, LEAF_IDS = 16, 256
 
 
 class TreeBpe:
@@ -70,7 +71,28 @@ class TreeBpe:
                 j = min(2 * j, len(right))
 
     def window(self, data: bytes) -> list[int]:
-        return self.leaf(data) if len(data) <= 4 * LEAF_BYTES else self.encode_piece(data)
+        """Merges over a heap for long windows: a window may be a whole piece, which halves can't make smaller."""
+        if len(data) <= 4 * LEAF_BYTES:
+            return self.leaf(data)
+        ranks, n = self.ranks, len(data)
+        if (whole := ranks.get(data)) is not None:
+            return [whole]
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at a place; end 0: merged away
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, stop = heappop(heap)
+            middle = end[i]
+            if not middle or middle >= n or end[middle] != stop:
+                continue  # a part has been merged meanwhile
+            end[i], end[middle] = stop, 0
+            if stop < n:
+                before[stop] = i
+                if (r := ranks.get(data[i : end[stop]])) is not None:
+                    heappush(heap, (r, i, end[stop]))
+            if i and (r := ranks.get(data[before[i] : stop])) is not None:
+                heappush(heap, (r, before[i], stop))
+        return [ranks[data[i : end[i]]] for i in range(n) if end[i]]
 
     def encode_piece(self, data: bytes) -> list[int]:
         """Bottom-up over leaves, so very long pieces need no deep recursion."""
@@ -94,8 +116,11 @@ class TreeBpe:
         return list(chain.from_iterable(self.memory.look_up(found)))
 
     def decode(self, ids: list[int]) -> bytes:
-        """Bytes of the ids; concatenation is associative, so halves may be joined in any order."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """Bytes of the ids: leaves of some ids each, whose neighbours are concatenated level by level up the tree."""
+        level = [b"".join(map(self.bytes_of.__getitem__, ids[i : i + LEAF_IDS])) for i in range(0, len(ids), LEAF_IDS)]
+        while len(level) > 1:
+            level = [b"".join(level[i : i + 2]) for i in range(0, len(level), 2)]
+        return level[0] if level else b""
 
 
 def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
@@ -104,6 +129,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, id_col: str
     Null and empty texts have no tokens; both digests are then those of the empty string. Repeated rows and null ids
     are passed on row by row; other columns are left out.
     """
+    ship(docs.sparkSession)
     data = broadcast_file(docs.sparkSession, vocab_path)
 
     def make(raw: bytes) -> TreeBpe:

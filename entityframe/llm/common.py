@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-import io
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder of its own, as in tests.
-FALLBACK_SHARED_DIR = "/tmp/entityframe-shared"
+from ..shipping import ship
+
+__all__ = ["BLANKS", "new_folder", "prefix_sums", "read_table", "shared_dir", "ship", "written"]
+
 #: Word separators of all operators on words.
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
+
+    Where it is unset, a session of one machine gets a folder of its own; a cluster has to name one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (folder or FALLBACK_SHARED_DIR).rstrip("/")
+    if not folder:
+        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="entityframe-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -34,22 +41,6 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each context, so that it need not be installed there."""
-    context = spark.sparkContext
-    if getattr(context, "_entityframe_shipped", False):
-        return
-    package = Path(__file__).parents[1]
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    path = Path(tempfile.mkdtemp()) / "entityframe.zip"  # Spark's own file server takes it from the driver
-    path.write_bytes(data.getvalue())
-    context.addPyFile(str(path))
-    context._entityframe_shipped = True
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,7 +51,8 @@ def prefix_sums(df: DataFrame, order: str, value: str, out: str, within: tuple[s
 
     Three levels of windows over ranges of 2^bits and 2^(2 bits) order values replace the one window over all rows,
     so no task gets more than a range of the order, however large the table; only ranges' sums meet in the upper levels.
-    Equal order values are ordered by `tie`.
+    The order values should span 3 * bits bits, as hashes cut to that length do: the uppermost level holds what is above
+    2 * bits. Equal order values are ordered by `tie`.
     """
     block, top, base, high = f"__{out}_block", f"__{out}_top", f"__{out}_base", f"__{out}_high"
     df = df.withColumn(block, F.shiftright(order, bits))

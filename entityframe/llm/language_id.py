@@ -1,7 +1,7 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
 Counts by language and bucket are summed by Spark over all labelled rows; the matrix of log probabilities, whose size
-is bounded by folding buckets, is broadcast, and texts are scored in numpy batches of bounded length.
+is checked, is broadcast, and texts are scored in numpy batches of bounded length.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, ship
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 15
-#: Entries of the broadcast matrix (float32), whatever the number of languages: with more languages, fewer buckets.
-MAX_ENTRIES = 1 << 24
-#: Characters scored or counted at once.
-BATCH_CHARS = 1 << 18
+#: Entries of the broadcast matrix (float32): 1,024 languages. More are an error, never a coarser model.
+MAX_ENTRIES = 1 << 25
+#: Characters of a run, and entries of the matrix that are gathered at once.
+BATCH_CHARS, GATHERED = 1 << 18, 1 << 23
 UNKNOWN = "und"
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
@@ -37,13 +37,14 @@ def ngram_buckets(run: np.ndarray, before: int = 0) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
-def code_points(text: str) -> list[tuple[np.ndarray, int]]:
-    """Lower-cased code points in runs of at most BATCH_CHARS, behind the last ones of the run before, with their number.
+def code_points(text: str, size: int | None = None) -> list[tuple[np.ndarray, int]]:
+    """Lower-cased code points in runs of at most `size` (BATCH_CHARS), behind the last ones of the run before, with their number.
 
     So each n-gram of the text ends in one run, after what comes from the run before.
     """
     chars, over = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4"), max(ORDERS) - 1
-    return [(chars[max(0, i - over) : i + BATCH_CHARS], min(i, over)) for i in range(0, len(chars), BATCH_CHARS)]
+    size = size or BATCH_CHARS
+    return [(chars[max(0, i - over) : i + size], min(i, over)) for i in range(0, len(chars), size)]
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -83,16 +84,15 @@ class Model:
         try:
             prior = {r["lang"]: r["n"] for r in counts.where("bucket = -1").collect()}
             self.langs = sorted(prior)
-            self.bits = BUCKET_BITS
-            while self.langs and len(self.langs) << self.bits > MAX_ENTRIES:
-                self.bits -= 1
-            folded = counts.where("bucket >= 0").groupBy("lang", F.shiftright("bucket", BUCKET_BITS - self.bits).alias("bucket")).agg(F.sum("n").alias("n"))
-            table = folded.toPandas()
+            if len(self.langs) << BUCKET_BITS > MAX_ENTRIES:
+                raise ValueError(f"{len(self.langs)} languages need a matrix of more than {MAX_ENTRIES} entries")
+            places = F.create_map(*(F.lit(x) for pair in zip(self.langs, range(len(self.langs)), strict=True) for x in pair)) if self.langs else F.create_map().cast("map<string,int>")
+            table = counts.where("bucket >= 0").select("bucket", places[F.col("lang")].alias("at"), "n").toArrow()  # numbers only
         finally:
             counts.unpersist()
-        matrix = np.zeros((1 << self.bits, max(1, len(self.langs))))
-        at = {name: i for i, name in enumerate(self.langs)}
-        matrix[table["bucket"].to_numpy(int), [at[x] for x in table["lang"]]] = table["n"].to_numpy(float)
+        matrix = np.zeros((1 << BUCKET_BITS, max(1, len(self.langs))))
+        bucket, at, n = (table.column(i).to_numpy() for i in range(3))
+        matrix[bucket.astype(int), at.astype(int)] = n
         matrix += smoothing
         self.log_p = np.log(matrix / matrix.sum(0)).astype(np.float32)
         self.prior = np.log(np.array([prior[x] for x in self.langs], float) / sum(prior.values())) if self.langs else np.zeros(1)
@@ -104,10 +104,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
     Null texts, texts without a letter, and all texts if no language was learned: `und` with score 0. Equal posteriors
     go to the first language in order. Repeated rows and null ids are passed on row by row.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.log_p, model.prior, BUCKET_BITS - model.bits))
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.log_p, model.prior))
 
     def run(batches):
-        langs, log_p, prior, fold = sent.value
+        langs, log_p, prior = sent.value
+        at_once = min(BATCH_CHARS, max(64, GATHERED // (len(ORDERS) * log_p.shape[1])))
         for batch in batches:
             texts = batch.column(0).to_pylist()
             total = np.tile(prior, (len(texts), 1))
@@ -115,7 +117,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
 
             def score():
                 if runs:
-                    grams = [ngram_buckets(*r) >> np.uint32(fold) for r in runs]
+                    grams = [ngram_buckets(*r) for r in runs]
                     lengths = np.array([len(g) for g in grams])
                     sums = np.add.reduceat(log_p[np.concatenate(grams)], np.cumsum(lengths) - lengths, axis=0, dtype=np.float64)
                     np.add.at(total, owners, sums)
@@ -123,11 +125,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
 
             told = [bool(t) and bool(langs) and any(map(str.isalpha, t)) for t in texts]
             for i, t in enumerate(texts):
-                for chars, before in code_points(t) if told[i] else []:
+                for chars, before in code_points(t, at_once) if told[i] else []:
                     runs.append((chars, before))
                     owners.append(i)
                     size += len(chars)
-                    if size >= BATCH_CHARS:
+                    if size >= at_once:
                         score()
                         size = 0
             score()

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, prefix_sums, read_table, written
+from .common import prefix_sums, read_table, written
 
 #: Halvings of the exponent's range that one pass over the source table evaluates, and passes.
 HALVINGS, PASSES = 5, 6
@@ -97,24 +97,32 @@ def mixture(docs: DataFrame, target: Target, block_tokens: int = 1 << 20, seed:
     # budget / share^(1-a) is constant over sources at the most needy one
     whole = F.lit(float(budget) if budget is not None else (norm["top"] or 0.0) * (norm["z"] or 0.0) * (norm["total"] or 0))
     plan = plan.select(
-        F.col("source").alias("s"), "weight", F.col("tokens").alias("s_tokens"),
-        F.ceil(F.col("weight") * whole * (1 - 1e-12)).alias("quota"), F.greatest(F.lit(1.0), F.col("weight") * block_tokens).alias("part"))
+        F.col("source").alias("s"), "weight", F.col("tokens").alias("s_tokens"), F.ceil(F.col("weight") * whole * (1 - 1e-12)).alias("quota"),
+        F.greatest(F.ceil(whole / block_tokens), F.lit(1)).alias("blocks"))
     copies = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
     copies = copies.withColumn("epoch", F.explode(F.expr("sequence(0L, cast(ceil(quota / s_tokens) AS bigint) - 1)")))
     copies = copies.withColumn("hash", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "epoch", "doc_id"), 64 - HASH_BITS))
     # three levels of ranges of the hash: a window of the upper two holds 2^(HASH_BITS / 3) rows at most
     placed = prefix_sums(copies, "hash", "n_tokens", "before", within=("source", "epoch"), tie=F.struct("doc_id", "n_tokens"), bits=HASH_BITS // 3)
     placed = placed.withColumn("at", F.col("epoch") * F.col("s_tokens") + F.col("before")).where(F.col("at") < F.col("quota"))
-    placed = placed.withColumn("block", F.floor(F.col("at") / F.col("part")))
+    # every source, however small, is spread over all blocks
+    placed = placed.withColumn("block", F.least(F.floor(F.col("at") * F.col("blocks") / F.col("quota")), F.col("blocks") - 1))
     in_block = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), "epoch", "doc_id", "source"), "doc_id", "epoch", "at", "source")
     return placed.select("doc_id", "source", "n_tokens", "epoch", "block", (F.row_number().over(in_block) - 1).cast("long").alias("position"), "weight")
 
 
-def n_words(text: str) -> Column:
-    """Words of a text, for want of a tokenizer: a native stand-in for its tokens."""
-    return F.coalesce(F.size(F.filter(F.split(F.col(text), BLANKS), lambda w: w != "")), F.lit(0)).cast("long")
+#: Pieces of a text before any merge, as byte-level tokenizers cut them: contractions, words, numbers, marks and blanks.
+PIECES = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
+
+
+def n_pieces(text: str) -> Column:
+    """Tokens of a text as far as DataFrame functions can count them: its pieces before merges. Null: none.
+
+    A caller who has counts of a tokenizer passes them to `mixture` instead.
+    """
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(PIECES)), F.lit(0)).cast("long")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", n_words("text").alias("n_tokens"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", n_pieces("text").alias("n_tokens"))
     return mixture(docs, Target(repetitions=2.0))

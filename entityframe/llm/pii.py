@@ -25,56 +25,73 @@ PATTERNS = {
     "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|api[_-]?key|secret|token)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,}+",
 }
 ANY = "|".join(PATTERNS.values())
-#: Dates from the first day, 270 * 271 of them; others are left as they are.
-FIRST_DAY, DAYS = "1900-01-01", (270, 271)
+#: All dates of four-digit years: the first, and two factors of their number.
+FIRST_DAY, DAYS = "0001-01-01", (5151, 709)
 #: Letters and digits that are permuted together; longer values go in groups of GROUP to 2 * GROUP - 1, so that cost is linear.
 TOGETHER, GROUP = 255, 32
+#: Characters with a value of their own: ASCII digits and letters, and all beyond ASCII, which move within 32 code points.
+#: A secret with fewer of them has its punctuation permuted too.
+STRONG, ANY_MARK, ENOUGH = r"[0-9A-Za-z\x{80}-\x{10FFFF}]", r"[^\x00-\x20\x7F]", 6
+MARKS = "!#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def _permuted(kind: str, key: str, cells: str, radices: str, tag: str = "") -> str:
-    """SQL of the permuted cells: `cells` and `radices` are SQL arrays of whole numbers of one length, two at least.
+def _sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    `tag`: SQL of the name of the permutation, if it isn't the kind.
+
+def _permuted(kind: str, cells: str, radices: str, tag: str = "") -> str:
+    """SQL of the permuted cells: `cells` and `radices` are SQL arrays of whole numbers of one length; one cell is shifted.
+
+    `tag`: SQL of the name of the permutation, if it isn't the kind. The key is in the column __key.
     """
-    add = (
-        "transform(s.l, (a, j) -> (a + cast(conv(substr(sha2(concat_ws('|', '{key}', z.t, i, j, array_join(s.m, ','), array_join(s.r, ',')), 256), 1, 14), 16, 10) AS bigint)) % s.m[j])"
-    ).format(key=key.replace("\\", "\\\\").replace("'", "\\'"))
+    number = "cast(conv(substr(sha2(concat_ws('|', __key, z.t, {}), 256), 1, 14), 16, 10) AS bigint)"
+    add = f"transform(s.l, (a, j) -> (a + {number.format("i, j, array_join(s.m, ','), array_join(s.r, ',')")}) % s.m[j])"
     half = "cast(size(z.c) / 2 AS int)"
     left, right = (lambda x: f"slice({x}, 1, {half})"), (lambda x: f"slice({x}, {half} + 1, size(z.c))")
     start = f"named_struct('l', {left('z.c')}, 'r', {right('z.c')}, 'm', {left('z.m')}, 'n', {right('z.m')})"
     step = f"(s, i) -> named_struct('l', s.r, 'r', {add}, 'm', s.n, 'n', s.m)"
+    network = f"aggregate(sequence(1, {ROUNDS}), {start}, {step}, s -> concat(s.l, s.r))"
+    one = f"array((z.c[0] + {number.format("'one'")}) % z.m[0])"
     # an array of one binds the cells to a name
-    return f"transform(array(named_struct('c', {cells}, 'm', {radices}, 't', {tag or repr(kind)})), z -> aggregate(sequence(1, {ROUNDS}), {start}, {step}, s -> concat(s.l, s.r)))[0]"
-
-
-def _digits(kind: str, key: str, value: str, first: int, least: dict[int, int] | None = None, n: str = "") -> str:
-    """SQL of `value` with its digits from the one numbered `first` on permuted; `least` holds the least digit at places."""
-    own = f"slice(regexp_extract_all({value}, '[0-9]', 0), {first + 1}, {n or '100'})"
-    low = "0" if not least else "CASE j " + " ".join(f"WHEN {k} THEN {v}" for k, v in least.items()) + " ELSE 0 END"
-    cells, radices = f"transform({own}, (d, j) -> cast(d AS bigint) - {low})", f"transform({own}, (d, j) -> cast(10 - {low} AS bigint))"
-    return f"transform({_permuted(kind, key, cells, radices)}, (d, j) -> cast(d + {low} AS string))"
+    return f"transform(array(named_struct('c', {cells}, 'm', {radices}, 't', {tag or repr(kind)})), z -> IF(size(z.c) = 1, {one}, {network}))[0]"
 
 
 def _refilled(value: str, cell: str, cells: str) -> str:
     """SQL of `value` with the parts that match `cell` replaced by the strings of `cells` in order."""
-    return f"array_join(zip_with(split({value}, '{cell}', -1), {cells}, (a, b) -> concat(a, coalesce(b, ''))), '')"
+    return f"array_join(zip_with(split({value}, {_sql(cell)}, -1), {cells}, (a, b) -> concat(a, coalesce(b, ''))), '')"
 
 
-def _letters(kind: str, key: str, value: str) -> str:
-    """SQL of `value` with each ASCII digit and letter permuted within its class; lower-case hexadecimals stay such.
+def _letters(kind: str, value: str, marks: bool = False) -> str:
+    """SQL of `value` with each STRONG character permuted within its class; lower-case hexadecimals stay such.
 
-    Groups of a long value have permutations of their own, by their place and the number of letters and digits.
+    With `marks`, a value of less than ENOUGH of them has its punctuation permuted too; their number never changes, so
+    this is a permutation still. Groups of a long value have permutations of their own, by their place and the length.
     """
-    own = f"regexp_extract_all({value}, '[0-9A-Za-z]', 0)"
-    bound = f"named_struct('o', {own}, 'h', {value} RLIKE '^[0-9a-f]{{8,}}$', 'n', cast(IF(size({own}) > {TOGETHER}, size({own}) div {GROUP}, 1) AS int))"
-    base = "CASE WHEN w.h THEN 0 WHEN c < ':' THEN 48 WHEN c < '[' THEN 65 ELSE 97 END"
+    strong, every = (f"regexp_extract_all({value}, {_sql(p)}, 0)" for p in (STRONG, ANY_MARK))
+    weak = f"size({strong}) < {ENOUGH}" if marks else "false"
+    own = f"IF({weak}, {every}, {strong})"
+    bound = f"named_struct('o', {own}, 'k', {weak}, 'h', {value} RLIKE '^[0-9a-f]{{8,}}$', 'n', cast(IF(size({own}) > {TOGETHER}, size({own}) div {GROUP}, 1) AS int))"
+
+    def by_class(what: int, code: str, char: str, rest: str) -> str:
+        """CASE over the classes of a character: its cell, its radix, or the character of the cell d."""
+        at = f"instr({_sql(MARKS)}, {char})"
+        classes = [
+            (f"{code} BETWEEN 48 AND 57", f"{code} - 48", "10", "chr(d + 48)"),
+            (f"{code} BETWEEN 65 AND 90", f"{code} - 65", "26", "chr(d + 65)"),
+            (f"{code} BETWEEN 97 AND 122", f"{code} - 97", "26", "chr(d + 97)"),
+            (f"{code} > 127", f"{code} % 32", "32", f"decode(unhex(lpad(hex({code} - {code} % 32 + d), 8, '0')), 'UTF-32')"),
+            (f"{at} > 0", f"{at} - 1", str(len(MARKS)), f"substr({_sql(MARKS)}, cast(d AS int) + 1, 1)"),
+        ]
+        return "CASE " + " ".join(f"WHEN {c[0]} THEN {c[what]}" for c in classes) + f" ELSE {rest} END"
+
     group = f"slice(w.o, k * {GROUP} + 1, IF(k < w.n - 1, {GROUP}, size(w.o)))"  # the last takes the rest
-    cells = f"transform({group}, c -> cast(IF(w.h, cast(conv(c, 16, 10) AS int), ascii(c) - {base}) AS bigint))"
-    radices = f"transform({group}, c -> cast(CASE WHEN w.h THEN 16 WHEN c < ':' THEN 10 ELSE 26 END AS bigint))"
+    cells = f"transform({group}, c -> cast(IF(w.h, cast(conv(c, 16, 10) AS int), {by_class(1, 'ascii(c)', 'c', '0')}) AS bigint))"
+    radices = f"transform({group}, c -> cast(IF(w.h, 16, {by_class(2, 'ascii(c)', 'c', '1')}) AS bigint))"
     tag = f"IF(w.n = 1, '{kind}', concat('{kind}/', k, '/', size(w.o)))"
-    moved = f"flatten(transform(sequence(0, w.n - 1), k -> {_permuted(kind, key, cells, radices, tag)}))"
-    back = f"zip_with({moved}, w.o, (d, c) -> IF(w.h, lower(hex(d)), chr(d + {base})))"
-    return f"transform(array({bound}), w -> IF(size(w.o) < 2, {value}, {_refilled(value, '[0-9A-Za-z]', back)}))[0]"
+    moved = f"flatten(transform(sequence(0, w.n - 1), k -> {_permuted(kind, cells, radices, tag)}))"
+    back = f"zip_with({moved}, w.o, (d, c) -> IF(w.h, lower(hex(d)), {by_class(3, 'ascii(c)', 'c', 'c')}))"
+    filled = f"IF(w.k, {_refilled(value, ANY_MARK, back)}, {_refilled(value, STRONG, back)})"
+    return f"transform(array({bound}), w -> IF(size(w.o) = 0, {value}, {filled}))[0]"
 
 
 def _luhn(digits: str, even: bool) -> str:
@@ -93,57 +110,62 @@ def kind_of(value: str) -> str:
     }
     whens = []
     for kind, pattern in PATTERNS.items():
-        literal = pattern.replace("\\", "\\\\").replace("'", "\\'")
-        whens.append(f"WHEN {value} RLIKE '^(?:{literal})$' THEN " + (f"IF({valid[kind]}, '{kind}', NULL)" if kind in valid else f"'{kind}'"))
+        whens.append(f"WHEN {value} RLIKE {_sql(f'^(?:{pattern})$')} THEN " + (f"IF({valid[kind]}, '{kind}', NULL)" if kind in valid else f"'{kind}'"))
     return "CASE " + " ".join(whens) + " END"
 
 
-def pseudonym(value: str, kind: str, key: str) -> str:
-    """SQL of the pseudonym of a match `value` of a kind."""
-    card = _digits("card", key, value, 0, {0: 1}, f"size(regexp_extract_all({value}, '[0-9]', 0)) - 1")
+def pseudonym(value: str, kind: str) -> str:
+    """SQL of the pseudonym of a match `value` of a kind; the key is in the column __key."""
+    digits = f"regexp_extract_all({value}, '[0-9]', 0)"
+    n = f"size({digits})"
+    # all digits but the check digit; all zeros aren't a card, so what comes to them goes on
+    body, tens = f"transform(slice({digits}, 1, {n} - 1), d -> cast(d AS bigint))", f"array_repeat(10L, {n} - 1)"
+    card = f"transform(array({_permuted('card', body, tens)}), p -> IF(exists(p, d -> d > 0), p, {_permuted('card', 'p', tens)}))[0]"
+    card = f"transform({card}, d -> cast(d AS string))"
     check = f"array_join(transform(array({card}), p -> {_refilled(value, '[0-9]', 'concat(p, array(cast((10 - ' + _luhn('p', False) + ' % 10) % 10 AS string)))')}), '')"
     octets = f"transform(split({value}, '[.]'), x -> cast(x AS bigint))"
-    ip = _permuted("ipv4", key, octets, "array(256L, 256L, 256L, 256L)")
+    ip = _permuted("ipv4", octets, "array(256L, 256L, 256L, 256L)")
     day = f"cast(datediff(cast({value} AS date), date'{FIRST_DAY}') AS bigint)"
-    moved = _permuted("date", key, f"array(cast(floor({day} / {DAYS[1]}) AS bigint), {day} % {DAYS[1]})", f"array({DAYS[0]}L, {DAYS[1]}L)")
+    moved = _permuted("date", f"array(cast(floor({day} / {DAYS[1]}) AS bigint), {day} % {DAYS[1]})", f"array({DAYS[0]}L, {DAYS[1]}L)")
     area = f"cast(substr({value}, 1, 3) AS bigint)"
-    ssn = _permuted("ssn", key, f"array({area} - IF({area} > 666, 2, 1), cast(substr({value}, 5, 2) AS bigint) - 1, cast(substr({value}, 8, 4) AS bigint) - 1)", "array(898L, 99L, 9999L)")
-    n = f"size(regexp_extract_all({value}, '[0-9]', 0))"
-    phone_cells = f"slice(regexp_extract_all({value}, '[0-9]', 0), {n} - 9, 10)"
+    ssn = _permuted("ssn", f"array({area} - IF({area} > 666, 2, 1), cast(substr({value}, 5, 2) AS bigint) - 1, cast(substr({value}, 8, 4) AS bigint) - 1)", "array(898L, 99L, 9999L)")
+    phone_cells = f"slice({digits}, {n} - 9, 10)"
     low = "IF(j = 0 OR j = 3, 2, 0)"
     # area and exchange begin with 2 to 9 where the found ones do
     fits = f"{phone_cells}[0] > '1' AND {phone_cells}[3] > '1'"
-    phone = f"transform({_permuted('phone', key, f'transform({phone_cells}, (d, j) -> cast(d AS bigint) - IF({fits}, {low}, 0))', f'transform({phone_cells}, (d, j) -> cast(10 - IF({fits}, {low}, 0) AS bigint))')}, (d, j) -> cast(d + IF({fits}, {low}, 0) AS string))"
+    phone = f"transform({_permuted('phone', f'transform({phone_cells}, (d, j) -> cast(d AS bigint) - IF({fits}, {low}, 0))', f'transform({phone_cells}, (d, j) -> cast(10 - IF({fits}, {low}, 0) AS bigint))')}, (d, j) -> cast(d + IF({fits}, {low}, 0) AS string))"
     local, tld = f"regexp_extract({value}, '^(.*)[.]', 1)", f"regexp_extract({value}, '([.][^.]*)$', 1)"
     label = f"regexp_extract({value}, '^([^=:]*[=:][ \\\\s]*[\"\\']?)', 1)"
     body = f"substr({value}, length({label}) + 1)"
     return f"""CASE {kind}
-      WHEN 'email' THEN concat({_letters('email', key, local)}, {tld})
+      WHEN 'email' THEN concat({_letters('email', local)}, {tld})
       WHEN 'ipv4' THEN array_join(transform({ip}, x -> cast(x AS string)), '.')
       WHEN 'date' THEN array_join(transform(array({moved}), p -> cast(date_add(date'{FIRST_DAY}', cast(p[0] * {DAYS[1]} + p[1] AS int)) AS string)), '')
       WHEN 'ssn' THEN array_join(transform(array({ssn}), p -> concat(lpad(cast(p[0] + IF(p[0] >= 665, 2, 1) AS string), 3, '0'), '-', lpad(cast(p[1] + 1 AS string), 2, '0'), '-', lpad(cast(p[2] + 1 AS string), 4, '0'))), '')
       WHEN 'card' THEN {check}
-      WHEN 'phone' THEN {_refilled(value, '[0-9]', f"concat(slice(regexp_extract_all({value}, '[0-9]', 0), 1, {n} - 10), {phone})")}
-      WHEN 'key' THEN concat('AKIA', {_letters('key', key, f"substr({value}, 5)")})
-      WHEN 'secret' THEN concat({label}, {_letters('secret', key, body)})
+      WHEN 'phone' THEN {_refilled(value, '[0-9]', f"concat(slice({digits}, 1, {n} - 10), {phone})")}
+      WHEN 'key' THEN concat('AKIA', {_letters('key', f"substr({value}, 5)")})
+      WHEN 'secret' THEN concat({label}, {_letters('secret', body, True)})
       ELSE {value} END"""
 
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """All columns of `docs` with `text` pseudonymised, `n_pii` values replaced and `pii_kinds`, their kinds in order.
 
-    Null texts stay null, with no values. Matches that aren't valid in their format are left as they are, as are dates
-    outside the domain. Columns of `docs` named n_pii or pii_kinds are replaced. Repeated rows are treated alike.
+    Null texts stay null, with no values. Matches that aren't valid in their format are left as they are. Columns of
+    `docs` named n_pii or pii_kinds are replaced. Repeated rows are treated alike. The key is read from a table of one
+    row while the query runs, so no plan shows it.
     """
     t = F.col(text)
+    docs = docs.withColumn("__key", docs.sparkSession.createDataFrame([(key,)], "k string").scalar())
     # a text without any of these has no match; a key may hold letters only
     at_all = F.coalesce(t.rlike(r"[@=:]|\d|AKIA"), F.lit(False))
     rows = docs.withColumn("__found", F.when(at_all, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
     rows = rows.withColumn("__found", F.when(F.size("__found") > 0, F.expr(f"transform(__found, v -> named_struct('v', v, 'k', {kind_of('v')}))")))
-    rows = rows.withColumn("__new", F.expr(f"transform(__found, x -> {pseudonym('x.v', 'x.k', key)})"))
+    rows = rows.withColumn("__new", F.expr(f"transform(__found, x -> {pseudonym('x.v', 'x.k')})"))
     rows = rows.withColumn(text, F.when(F.col("__new").isNotNull(), _woven(t)).otherwise(t))
     kinds = F.coalesce(F.expr("transform(filter(__found, x -> x.k IS NOT NULL), x -> x.k)"), F.array().cast("array<string>"))
-    return rows.withColumn("pii_kinds", kinds).withColumn("n_pii", F.size("pii_kinds").cast("long")).drop("__found", "__new")
+    return rows.withColumn("pii_kinds", kinds).withColumn("n_pii", F.size("pii_kinds").cast("long")).drop("__found", "__new", "__key")
 
 
 def _woven(t: Column) -> Column:

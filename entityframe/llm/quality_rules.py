@@ -1,12 +1,12 @@
 """Quality rules as a short-circuit cascade, DataFrame functions only.
 
-Every rule's rejection rate and cost are estimated on a bounded sample; a row then meets the rules in the order of
+Every rule's rejection rate and cost are estimated on a seeded sample: the cost counts the characters and words that the
+rule and the signals it needs go over, so it is the same in every run. A row then meets the rules in the order of
 rejection per cost and leaves at the first that rejects it. The order changes the work, never the verdict.
 """
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,71 +15,106 @@ from pyspark.sql import functions as F
 from .common import BLANKS, read_table
 
 SYMBOLS = "[#*$%&|<>]"
+#: Part of the rows that estimates the rules, and the sample's seed.
+SAMPLE, SEED = 0.005, 11
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule rejects a row where `fails` is true; null counts as no rejection."""
+    """A rule rejects a row where `fails` is true; null counts as no rejection. `work` counts what it goes over itself."""
 
     name: str
     fails: Column
+    work: Column
+    needs: tuple[str, ...] = ("words",)
 
 
 def default_rules() -> list[Rule]:
-    """Whole-number forms of common web-text heuristics over the columns of `with_signals`."""
-    c = F.col
+    """Whole-number forms of common web-text heuristics over the signals."""
+    c, one, chars = F.col, F.lit(1), F.char_length("__text")
     return [
-        Rule("symbol_ratio", c("n_symbols") * 10 > c("n_words")),
-        Rule("word_length", (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 15 * c("n_words"))),
-        Rule("dup_lines", c("n_dup_lines") * 2 > c("n_lines")),
-        Rule("few_letters", F.regexp_count("text", F.lit(r"\p{L}")) * 10 < 6 * c("word_chars")),
-        Rule("ellipsis_lines", F.regexp_count("text", F.lit(r"(?m)(\.\.\.|…)[\x20\t]*$")) * 10 > 3 * c("n_lines")),
-        Rule("vocabulary", (c("n_words") >= 200) & (F.size(F.array_distinct("words")) * 20 < c("n_words"))),
+        Rule("symbol_ratio", c("n_symbols") * 10 > c("n_words"), one, ("words", "symbols")),
+        Rule("word_length", (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 15 * c("n_words")), one),
+        Rule("dup_lines", c("n_dup_lines") * 2 > c("n_lines"), one, ("lines",)),
+        Rule("few_letters", F.regexp_count("__text", F.lit(r"\p{L}")) * 10 < 6 * c("word_chars"), chars),
+        Rule("ellipsis_lines", F.regexp_count("__text", F.lit(r"(?m)(\.\.\.|…)[\x20\t]*$")) * 10 > 3 * c("n_lines"), chars, ("lines",)),
+        Rule("vocabulary", (c("n_words") >= 200) & (F.size(F.array_distinct("__words")) * 20 < c("n_words")), F.when(c("n_words") >= 200, c("n_words")).otherwise(1)),
     ]
 
 
-def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds `words`, `n_words`, `word_chars`, `n_symbols`, `n_lines`, `n_dup_lines`, `n_repeat_words`.
+def base_rules(min_words: int = 50) -> list[Rule]:
+    """Rows of under `min_words` words, or with over half of the words in repeated three-word windows."""
+    return [
+        Rule("few_words", F.col("n_words") < min_words, F.lit(1)),
+        Rule("repetition", F.col("n_repeat_words") * 100 > F.col("n_words") * 50, F.lit(1), ("words", "windows")),
+    ]
 
-    Null and empty texts have no words and zero everywhere.
-    """
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.withColumn("words", F.filter(F.split(t, BLANKS), lambda w: w != ""))
-    base = base.withColumns({
-        "n_words": F.size("words").cast("long"),
-        "__lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-        "__windows": F.expr("IF(size(words) < 4, CAST(array() AS array<bigint>), transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])))"),
-    })
-    base = base.withColumn(
-        "__sorted",
-        F.expr("IF(size(array_distinct(__windows)) = size(__windows), NULL, sort_array(transform(__windows, (h, i) -> struct(h, i))))"),
-    )
+
+def _words(docs: DataFrame) -> DataFrame:
+    docs = docs.withColumn("__words", F.filter(F.split("__text", BLANKS), lambda w: w != ""))
+    return docs.withColumns({"n_words": F.size("__words").cast("long"), "word_chars": F.char_length(F.array_join("__words", "")).cast("long")})
+
+
+def _symbols(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_symbols", F.regexp_count("__text", F.lit(SYMBOLS)).cast("long"))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    docs = docs.withColumn("__lines", F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    return docs.withColumns({"n_lines": F.size("__lines").cast("long"), "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")}).drop("__lines")
+
+
+def _windows(docs: DataFrame) -> DataFrame:
+    docs = docs.withColumn("__windows", F.expr("IF(size(__words) < 4, CAST(array() AS array<bigint>), transform(sequence(0, size(__words) - 3), i -> xxhash64(__words[i], __words[i + 1], __words[i + 2])))"))
+    docs = docs.withColumn("__sorted", F.expr("IF(size(array_distinct(__windows)) = size(__windows), NULL, sort_array(transform(__windows, (h, i) -> struct(h, i))))"))
     # a window found twice stands beside its equal in sorted order
-    base = base.withColumn(
-        "__repeated",
-        F.expr("transform(filter(__sorted, (x, i) -> x.h = get(__sorted, i - 1).h OR x.h = get(__sorted, i + 1).h), x -> x.i)"),
-    )
-    return base.withColumns({
-        "word_chars": F.char_length(F.array_join("words", "")).cast("long"),
-        "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
-        "n_lines": F.size("__lines").cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "n_repeat_words": F.expr("IF(__repeated IS NULL, 0, size(array_distinct(flatten(transform(__repeated, p -> array(p, p + 1, p + 2))))))").cast("long"),
-    }).drop("__lines", "__windows", "__sorted", "__repeated")
+    docs = docs.withColumn("__repeated", F.expr("transform(filter(__sorted, (x, i) -> x.h = get(__sorted, i - 1).h OR x.h = get(__sorted, i + 1).h), x -> x.i)"))
+    n = F.expr("IF(__repeated IS NULL, 0, size(array_distinct(flatten(transform(__repeated, p -> array(p, p + 1, p + 2))))))").cast("long")
+    return docs.withColumn("n_repeat_words", n).drop("__windows", "__sorted", "__repeated")
 
 
-def ordered_rules(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
-    """The rules by rejection per cost on the rows of `sample`, which the caller bounds and keeps at hand."""
-    n = sample.count()
-    if not n:
-        return rules
+#: The signals' groups: what adds them, and what this goes over. A window is hashed and sorted.
+SIGNALS = {
+    "words": (_words, lambda: F.char_length("__text")),
+    "symbols": (_symbols, lambda: F.char_length("__text")),
+    "lines": (_lines, lambda: F.char_length("__text")),
+    "windows": (_windows, lambda: 12 * F.size("__words")),
+}
 
-    def rank(rule: Rule) -> float:
-        began = time.perf_counter()
-        rejected = sample.agg(F.sum(F.coalesce(rule.fails, F.lit(False)).cast("long")).alias("n")).first()["n"]
-        return -((rejected + 0.5) / (n + 1)) / max(time.perf_counter() - began, 1e-6)
 
-    return [r for _, r in sorted(((rank(r), r) for r in rules), key=lambda x: x[0])]
+def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds `n_words`, `word_chars`, `n_symbols`, `n_lines`, `n_dup_lines`, `n_repeat_words`, and for rules __text, __words.
+
+    Null and empty texts have no words and zero everywhere.
+    """
+    docs = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+    for add, _ in SIGNALS.values():
+        docs = add(docs)
+    return docs
+
+
+def estimates(docs: DataFrame, rules: list[Rule], text: str = "text") -> tuple[dict[str, float], dict[str, float]]:
+    """Rejected parts of the sample by rule, and mean work by rule and by group of signals, in one pass over the sample."""
+    rated = with_signals(docs.select(F.col(text).alias("text")).sample(fraction=SAMPLE, seed=SEED))
+    work = {r.name: r.work for r in rules} | {g: made() for g, (_, made) in SIGNALS.items()}
+    row = rated.agg(
+        F.count("*").alias("n"),
+        *[F.sum(F.coalesce(r.fails, F.lit(False)).cast("long")).alias(f"no_{r.name}") for r in rules],
+        *[F.avg(w).alias(f"work_{name}") for name, w in work.items()],
+    ).first()
+    n = row["n"]
+    return {r.name: ((row[f"no_{r.name}"] or 0) + 0.5) / (n + 1) for r in rules}, {name: row[f"work_{name}"] or 1.0 for name in work}
+
+
+def ordered(rules: list[Rule], rejected: dict[str, float], work: dict[str, float], have: set[str]) -> list[Rule]:
+    """The rules by rejection per cost; signals that an earlier rule needs, or in `have`, cost nothing more."""
+    have, rest, out = set(have), list(rules), []
+    while rest:
+        best = max(rest, key=lambda r: rejected[r.name] / (work[r.name] + sum(work[g] for g in r.needs if g not in have)))
+        rest.remove(best)
+        have.update(best.needs)
+        out.append(best)
+    return out
 
 
 def cascade(rules: list[Rule]) -> Column:
@@ -90,35 +125,39 @@ def cascade(rules: list[Rule]) -> Column:
     return out if out is not None else F.lit(None).cast("string")
 
 
-def quality(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", sample_rows: int = 400, min_words: int = 50) -> DataFrame:
-    """All columns of `docs` with the signals, `base_failed`, `rejected_by` and `kept`.
+def quality(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", min_words: int = 50) -> DataFrame:
+    """All columns of `docs` with all signals, `base_failed`, `rejected_by` and `kept`.
 
     base_failed: under `min_words` words, or over half of the words in repeated three-word windows. Such rows are
-    rejected before the cascade. Null or empty text: no words, base_failed. Columns of `docs` that have a signal's
-    name are replaced. Repeated rows are judged one by one. The sample is the first `sample_rows` rows that Spark
-    delivers; it serves only to order the rules.
+    rejected before the cascade. Null or empty text: no words, base_failed. Columns of `docs` that have the name of an
+    added one are replaced. Repeated rows are judged one by one.
     """
     rules = default_rules() if rules is None else rules
-    sample = with_signals(docs.select(F.col(text).alias("text")).limit(sample_rows)).persist()
-    try:
-        rules = ordered_rules(sample, rules)
-    finally:
-        sample.unpersist()
-    rated = with_signals(docs, text)
-    if text != "text":
-        rated = rated.withColumn("text", F.col(text))
-    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    rules = ordered(rules, *estimates(docs, rules, text), set(SIGNALS))
+    failed = base_rules(min_words)[0].fails | base_rules(min_words)[1].fails
     return (
-        rated.withColumn("base_failed", failed)
+        with_signals(docs, text).withColumn("base_failed", failed)
         .withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(rules)))
         .withColumn("kept", F.col("rejected_by").isNull())
-        .drop("words")
+        .drop("__words", "__text")
     )
 
 
-def kept_rows(rated: DataFrame) -> DataFrame:
-    """The kept rows of `quality`. The row number keeps the optimiser from copying all signals into the filter."""
-    return rated.withColumn("__row", F.monotonically_increasing_id()).where("kept AND __row >= 0").drop("__row")
+def passing(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", min_words: int = 50) -> DataFrame:
+    """The rows that `quality` keeps, with the columns of `docs`. Signals are computed only for rows that no earlier rule
+    has rejected, base rules included."""
+    rules = base_rules(min_words) + (default_rules() if rules is None else rules)
+    out, have = docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))), set()
+    names = {name: f"__own_{name}" for name in docs.columns if name in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")}
+    out = out.withColumnsRenamed(names)
+    for rule in ordered(rules, *estimates(docs, rules, text), have):
+        for group in rule.needs:
+            if group not in have:
+                out = SIGNALS[group][0](out)
+                have.add(group)
+        # the row number keeps the optimiser from copying the signals into the filter
+        out = out.withColumn("__row", F.monotonically_increasing_id()).where(F.coalesce(~rule.fails, F.lit(True)) & (F.col("__row") >= 0)).drop("__row")
+    return out.drop("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words").withColumnsRenamed({v: k for k, v in names.items()}).select(docs.columns)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

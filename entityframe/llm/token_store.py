@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from array import array
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_folder, read_table, ship, written
-from .vocab import Memory, broadcast_file, built, stem
+from .vocab import MEMORY_PIECE_CHARS, Memory, broadcast_file, built
 
 #: Ids under the rolling hash, and chunk lengths: 2^MEAN_BITS expected beyond the least.
 WINDOW, LEAST, MEAN_BITS, MOST = 16, 128, 9, 4096
@@ -34,6 +35,8 @@ MANIFEST_BITS = 12
 DATA = "kind string, key binary, doc_id bigint, n_tokens bigint, ends array<int>, digests array<binary>, root binary, payload binary"
 
 
+#: Letters as they were in the first Unicode versions, so one piece in any engine, between a lead and a stop.
+LETTERS = re.compile("([\n\0]?)([A-Za-zªµºÀ-ÖØ-öø-ɏ]+)([,.]?)")
 #: Characters of texts that are cut into words at once.
 SLICE_CHARS = 1 << 22
 
@@ -65,22 +68,34 @@ class IdEncoder:
     def _words(self, new: list[str]) -> list[bytes]:
         """Ids of words: led by a newline, by a zero byte at the start of a text, else by a space. No ids: not a word."""
         out, rest = [b""] * len(new), []
-        tokenize = self.tokenizer.model.tokenize
+        tokenize, letters, code, stand_in = self.tokenizer.model.tokenize, LETTERS.fullmatch, self.code, self.stand_in
         for i, w in enumerate(new):
-            body = w[1:] if w[:1] in ("\n", "\0") else w
-            if body.split() != [body]:
-                continue
-            word = stem(body)
-            if word.isalpha() and max(word) < "\u0250":  # letters since the first Unicode versions: one piece
-                piece = word if word.isascii() else word.encode().decode("latin-1").translate(self.stand_in)
-                ids = array(self.code, [t.id for t in tokenize(piece if body is not w else "Ġ" + piece)]).tobytes()
-                out[i] = (self.ends["\n"] if w[0] == "\n" else b"") + ids + (b"" if word is body else self.ends[body[-1]])
-            else:
+            if m := letters(w):
+                lead, piece, stop = m.groups()
+                if not piece.isascii():
+                    piece = piece.encode().decode("latin-1").translate(stand_in)
+                ids = array(code, [t.id for t in tokenize(piece if lead else "Ġ" + piece)]).tobytes()
+                if lead == "\n":
+                    ids = self.ends["\n"] + ids
+                out[i] = ids + self.ends[stop] if stop else ids
+            elif (body := w[1:] if w[:1] in ("\n", "\0") else w).split() == [body]:
                 rest.append(i)
         for i, ids in zip(rest, self.whole([new[i].removeprefix("\0") if new[i][0] in "\n\0" else " " + new[i] for i in rest]), strict=True):
             out[i] = ids
         return out
 
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        out = list(map(self.memory.known.get, words))
+        gaps = [i for i, x in enumerate(out) if x is None]
+        self.memory.make_room(len(gaps))
+        known = self.memory.known
+        for i, ids in zip(gaps, self._words([words[i] for i in gaps]), strict=True):
+            out[i] = ids
+            if len(words[i]) <= MEMORY_PIECE_CHARS:
+                known[words[i]] = ids
+        return out
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         out = [np.empty(0, self.dtype)] * len(texts)
@@ -103,13 +118,13 @@ class IdEncoder:
     def _by_words(self, texts: list[str], held: list[int], out: list[np.ndarray]) -> None:
         cut = pc.split_pattern(pa.array(["\0" + texts[i].replace("\n", " \n") for i in held], pa.large_string()), " ")
         distinct = cut.flatten().dictionary_encode()
-        known = self.memory.look_up(distinct.dictionary.to_pylist())
-        lengths = np.array([len(x) for x in known]) // self.dtype.itemsize
-        starts, data = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(known), self.dtype)
+        known = self._known(distinct.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, known), np.int32, len(known)) // self.dtype.itemsize
+        starts, data = np.cumsum(lengths, dtype=np.int32) - lengths, np.frombuffer(b"".join(known), self.dtype)
         at = distinct.indices.to_numpy()
         n = lengths[at]
-        ends = np.cumsum(n)
-        ids = data[np.repeat(starts[at] - ends + n, n) + np.arange(int(ends[-1]))]
+        ends = np.cumsum(n, dtype=np.int32)  # a slice's ids are far fewer than 2^31
+        ids = data[np.repeat(starts[at] - ends + n, n) + np.arange(int(ends[-1]), dtype=np.int32)]
         first = cut.offsets.to_numpy()
         odd = np.logical_or.reduceat(n == 0, first[:-1])
         bounds = np.append(0, ends)[first]

@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import read_table, ship, written
 
-#: Vectors of a bucket and of a query block, up to the unevenness of a hash.
-BUCKET_ROWS, BLOCK_ROWS = 2048, 512
+#: Vectors of a bucket and of a query block, up to the unevenness of a hash, and queries whose products are held at once.
+BUCKET_ROWS, BLOCK_ROWS, AT_ONCE = 4096, 2048, 256
+#: Buckets of the longest vectors that are broadcast together, a few MB each.
+MOST_HEADS = 16
 #: Local cosine threshold from which coordinates are used, and how many of them.
 COORDINATE_FROM, FOCUS = 0.6, 4
 _ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -88,8 +90,8 @@ def search_block(q: tuple, b: tuple, least: np.ndarray, k: int):
     with np.errstate(divide="ignore", invalid="ignore"):
         need = np.where(q_norms > 0, least / q_norms, np.where(least > 0, np.inf, -np.inf))  # least length of a partner
     local = need / max(norms[0], 1e-300)
-    by_length = np.flatnonzero((local <= slack) & (local < COORDINATE_FROM))
-    if len(by_length):
+    lengthy = np.flatnonzero((local <= slack) & (local < COORDINATE_FROM))
+    for by_length in np.split(lengthy, range(AT_ONCE, len(lengthy), AT_ONCE)) if len(lengthy) else []:
         n = int(np.searchsorted(-norms, -need[by_length].min() / slack, "right")) if need[by_length].min() > 0 else len(ids)
         scores = _products(q_vec[by_length], vec[:n], bound)
         for row, s in zip(by_length, scores, strict=True):
@@ -114,10 +116,12 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     """query_id, rank, vec_id, score: for rows whose id is divisible by `every`, the k best of all other rows.
 
     Ties go to the smaller id; with fewer than k others, all. Vectors of another length than the query's aren't
-    compared. Null ids take no part; rows with the query's own id aren't its partners, and repeated ids keep their rows.
+    compared. Null ids take no part; rows with the query's own id aren't its partners, and rows that repeat an id are
+    queries and partners of their own.
     Other columns are left out; an empty table gives no rows.
     """
     spark = vectors.sparkSession
+    ship(spark)
     rows = written(
         quantised(vectors, scale, id_col, vector).withColumn("band", F.when(F.col("norm") > 0, F.floor(F.log2("norm") * 16)).otherwise(-99999).cast("int")), "vectors")
     is_query = F.pmod("id", F.lit(every)) == 0
@@ -148,34 +152,50 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
         for batch in batches:
             yield from _searched(batch.to_pylist(), k)
 
-    found = "block int, query_id bigint, vec_id bigint, score bigint"
+    found = "block int, at int, query_id bigint, vec_id bigint, score bigint"
+    # a query row is known by its block and its place there, so rows with one id have rankings of their own
+    best = Window.partitionBy("block", "at").orderBy(F.desc("score"), "vec_id")
     with small_batches(spark, 8):
-        pairs = blocks.join(buckets.where(F.col("bucket").isin(heads)), F.col("q_dim") == F.col("dim"))
+        longest = buckets.where(F.col("bucket").isin(heads))  # two buckets for each length of vectors at most
+        pairs = blocks.join(F.broadcast(longest) if len(heads) <= MOST_HEADS else longest, F.col("q_dim") == F.col("dim"))
         near = written(pairs.mapInArrow(first, found), "near")
-        # the k-th best so far of each query, by block
-        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-        least = ranked.where(F.col("rank") == k).groupBy("block").agg(F.collect_list(F.struct("query_id", "score")).alias("least"))
-        rest = buckets.where(~F.col("bucket").isin(heads))
-        wide = blocks.join(least, blocks["q_bucket"] == least["block"], "left").drop("block")
-        todo = wide.select("q_bucket", "q_dim").join(rest.select("bucket", "dim"), F.col("q_dim") == F.col("dim")).select(F.col("q_bucket").alias("at"), F.col("bucket").alias("b"))
-        pairs = todo.join(rest, F.col("b") == F.col("bucket")).join(wide, F.col("at") == F.col("q_bucket"))
+        # the k-th best so far of each query, by block; a block needs no bucket whose longest vector is too short for all
+        ranked = near.withColumn("rank", F.row_number().over(best))
+        least = ranked.where(F.col("rank") == k).groupBy("block").agg(F.collect_list(F.struct("at", "score")).alias("least"))
+        wide = blocks.join(least, blocks["q_bucket"] == least["block"], "left").withColumn("need", _need("q_ids", "q_top_norm", "least")).drop("block")
+        wide = written(wide, "query-blocks")
+        ends = F.broadcast(spark.createDataFrame([(s[0], s[2], s[3], float(r["norm"])) for s, r in zip(spec, bands, strict=True)], "b_dim int, first int, parts int, longest double"))
+        reach = wide.select("q_bucket", "q_dim", "need").join(ends, (F.col("q_dim") == F.col("b_dim")) & (F.col("longest") >= F.col("need")))
+        todo = reach.select(F.col("q_bucket").alias("at_block"), F.explode(F.expr("sequence(first, first + parts - 1)")).alias("b")).where(~F.col("b").isin(heads))
+        pairs = todo.join(buckets, F.col("b") == F.col("bucket")).join(wide, F.col("at_block") == F.col("q_bucket"))
         far = written(pairs.mapInArrow(first, found), "far")
-    out = near.unionByName(far).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    out = near.unionByName(far).withColumn("rank", F.row_number().over(best))
     return out.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _need(ids: str, top_norm: str, least: str):
+    """The least length of a vector that any query of a block can use: by its smallest k-th score and longest query.
+
+    Minus infinity while a query has fewer than k vectors, or if that score isn't positive.
+    """
+    lowest = F.array_min(F.transform(F.col(least), lambda x: x["score"]))
+    full = F.size(least) == F.octet_length(ids) / 8
+    return F.when(full & (lowest > 0) & (F.col(top_norm) > 0), lowest / F.col(top_norm) * (1 - 1e-9)).otherwise(F.lit(float("-inf")))
+
+
 def _searched(rows: list[dict], k: int):
     for r in rows:
         q = _unpack(r["dim"], r["q_ids"], r["q_norms"], r["q_vectors"])
         b = _unpack(r["dim"], r["ids"], r["norms"], r["vectors"])
-        known = {x["query_id"]: x["score"] for x in r.get("least") or []}
-        least = np.array([known.get(i, -np.inf) for i in q[0].tolist()], float)
-        out = [(q[0][row], ids, scores) for row, ids, scores in search_block(q, b, least, k)]
+        least = np.full(len(q[0]), -np.inf)
+        for x in r.get("least") or []:
+            least[x["at"]] = x["score"]
+        out = [(row, ids, scores) for row, ids, scores in search_block(q, b, least, k)]
         n = [len(ids) for _, ids, _ in out]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(sum(n), r["q_bucket"], np.int32)), pa.array(np.repeat(np.array([i for i, _, _ in out], np.int64), n)),
+            [pa.array(np.full(sum(n), r["q_bucket"], np.int32)), pa.array(rows := np.repeat(np.array([i for i, _, _ in out], np.int32), n)), pa.array(q[0][rows]),
              pa.array(np.concatenate([x for _, x, _ in out] or [np.empty(0, np.int64)])), pa.array(np.concatenate([x for *_, x in out] or [np.empty(0, np.int64)]))],
-            ["block", "query_id", "vec_id", "score"])
+            ["block", "at", "query_id", "vec_id", "score"])
 
 
 def op6_topk_search(spark, sf_dir: str) -> DataFrame:

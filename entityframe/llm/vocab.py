@@ -1,13 +1,14 @@
 """Vocabulary files: read once on the driver, size-checked, and sent to the tasks as one broadcast.
 
 Texts are cut into pieces that no tokenizer here looks across, and each worker remembers the encoding of the pieces
-it has met; a full memory is emptied, so its size is bounded and results never depend on it.
+it has met; a full memory loses its later half, so its size is bounded and results never depend on it.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from itertools import islice
 
 import regex
 from pyspark.sql import SparkSession
@@ -64,11 +65,6 @@ class Pieces:
         return self.pattern.findall(text)
 
 
-def stem(word: str) -> str:
-    """The word without a comma or full stop right behind a letter, which is always a piece of its own."""
-    return word[:-1] if word[-1:] in (",", ".") and word[-2:-1].isalpha() else word
-
-
 class Memory:
     """Results by piece; `fill` gives those of a list of new pieces."""
 
@@ -87,6 +83,10 @@ class Memory:
         return out
 
     def remember(self, got: dict) -> None:
-        if len(self.known) + len(got) > MEMORY_PIECES:
-            self.known.clear()
+        self.make_room(len(got))
         self.known.update((p, x) for p, x in got.items() if len(p) <= MEMORY_PIECE_CHARS)
+
+    def make_room(self, n: int) -> None:
+        """If n more pieces are too many, the first half stays: common pieces come early."""
+        if len(self.known) + n > MEMORY_PIECES:
+            self.known = dict(islice(self.known.items(), MEMORY_PIECES // 2))

@@ -135,6 +135,42 @@ def test_ngrams_across_runs(monkeypatch, size):
     assert (np.sort(np.concatenate([language_id.ngram_buckets(*r) for r in language_id.code_points(text)])) == whole).all()
 
 
+def test_naive_bayes_is_brute_force(spark, monkeypatch):
+    random.seed(9)
+    words = {"x": "ab cde fgh ia".split(), "y": "zu vwx éa öo".split(), "z": "ab zu éa mm".split()}
+    docs = [(i, " ".join(random.choices(words[s], k=random.randint(3, 30))), s) for i, s in enumerate(random.choices("xyz", k=60))]
+    docs += [(60, "ab cde " * 60_000, "x")]
+    counts = {s: np.full(1 << language_id.BUCKET_BITS, 0.5) for s in "xyz"}
+
+    def grams(text):
+        chars = [ord(c) for c in text.lower()]
+        for n in language_id.ORDERS:
+            for i in range(len(chars) - n + 1):
+                h = n
+                for k in range(n):
+                    h = (h ^ chars[i + k]) * int(language_id._MULTIPLIERS[k]) & 0xFFFFFFFF
+                    h ^= h >> 15
+                yield (h * 0x27D4EB2F & 0xFFFFFFFF) >> (32 - language_id.BUCKET_BITS)
+
+    for _, t, s in docs:
+        for g in grams(t):
+            counts[s][g] += 1
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language_id.Model(language_id.fit(rows))
+    tests = [(100, "zu éa ab"), (101, "fgh ia"), (102, "mm"), (103, docs[60][1] + "zu")]
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(tests, "doc_id long, text string"), model).collect()}
+    for key, t in tests:
+        logs = {s: np.log(sum(x[2] == s for x in docs) / len(docs)) for s in "xyz"}
+        for g in grams(t):
+            for s in "xyz":
+                logs[s] += np.log(counts[s][g] / counts[s].sum())
+        best = max(logs, key=logs.get)
+        assert got[key].lang_pred == best and abs(got[key].score - 1 / sum(np.exp(v - logs[best]) for v in logs.values())) < 1e-3
+    monkeypatch.setattr(language_id, "MAX_ENTRIES", 1 << language_id.BUCKET_BITS)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.Model(language_id.fit(rows))
+
+
 def test_language_id(spark, sf_dir, odd, empty):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = language_id.op4_language_id(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
@@ -148,13 +184,15 @@ def test_language_id(spark, sf_dir, odd, empty):
     assert language_id.predict(empty, model).count() == 0
 
 
-def test_top_k(spark):
-    ship(spark)
+@pytest.mark.parametrize("rows", [4096, 16])
+def test_top_k(spark, monkeypatch, rows):
+    monkeypatch.setattr(topk_search, "BUCKET_ROWS", rows)
+    monkeypatch.setattr(topk_search, "BLOCK_ROWS", rows // 4)
     rng = np.random.default_rng(3)
-    rows = [(i, [float(x) for x in rng.normal(size=6) * np.exp(rng.normal())]) for i in range(300)]
-    rows += [(300 + i, rows[7][1]) for i in range(40)] + [(400, None), (420, [1.0, None]), (440, [float("nan")] * 6), (460, [float("inf")] * 6), (480, []), (500, [0.0] * 6), (520, [1.0, 2.0]), (None, [1.0] * 6)]
-    df = spark.createDataFrame([(i, v, 0, 0) for i, v in rows], "vec_id long, embedding array<double>, norm int, bucket int")
-    sound = {i: np.floor(64 * np.array(v)).astype(int) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all()}
+    vectors = [(i, [float(x) for x in rng.normal(size=6) * np.exp(rng.normal())]) for i in range(300)]
+    vectors += [(300 + i, vectors[7][1]) for i in range(40)] + [(400, None), (420, [1.0, None]), (440, [float("nan")] * 6), (460, [float("inf")] * 6), (480, []), (500, [0.0] * 6), (520, [1.0, 2.0]), (None, [1.0] * 6)]
+    df = spark.createDataFrame([(i, v, 0, 0) for i, v in vectors], "vec_id long, embedding array<double>, norm int, bucket int")
+    sound = {i: np.floor(64 * np.array(v)).astype(int) for i, v in vectors if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all()}
     want = {}
     for q, x in sound.items():
         if q % 20 == 0:
@@ -163,6 +201,10 @@ def test_top_k(spark):
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk_search.top_k(df).collect()}
     assert got == want
     assert topk_search.top_k(df.where("false")).count() == 0
+    # rows with one id rank for themselves
+    twice = df.unionByName(spark.createDataFrame([(40, [-x for x in vectors[40][1]], 0, 0)], df.schema)).where("vec_id < 80")
+    first = [r for r in topk_search.top_k(twice, k=3).collect() if r.query_id == 40]
+    assert sorted(r.rank for r in first) == [1, 1, 2, 2, 3, 3]
 
 
 def families(seed: int) -> list[str]:
@@ -271,11 +313,29 @@ def test_quality_rules(odd, empty):
     assert quality_rules.quality(empty).count() == 0
 
 
-def test_rule_order_does_not_change_verdicts(spark, sf_dir):
+def test_rule_order_does_not_change_verdicts(spark, sf_dir, odd, empty, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rules = quality_rules.default_rules()
-    a, b = ({r.doc_id: r.kept for r in quality_rules.quality(docs, x).collect()} for x in (rules, rules[::-1]))
+    a = {r.doc_id: r.kept for r in quality_rules.quality(docs, rules).collect()}
+    monkeypatch.setattr(quality_rules, "ordered", lambda rules, *_: rules[::-1])
+    b = {r.doc_id: r.kept for r in quality_rules.quality(docs, rules).collect()}
     assert a == b and 0 < sum(a.values()) < len(a)
+    assert {r.doc_id for r in quality_rules.passing(docs).collect()} == {k for k, kept in a.items() if kept}
+    monkeypatch.undo()
+    passed = quality_rules.passing(docs.withColumn("n_words", F.lit("own")))
+    assert {r.doc_id for r in passed.collect()} == {k for k, kept in a.items() if kept} and passed.first().n_words == "own"
+    assert quality_rules.passing(odd).count() == quality_rules.quality(odd).where("kept").count() and quality_rules.passing(empty).count() == 0
+
+
+def test_rules_go_by_rejection_for_their_cost(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "SAMPLE", 1.0)
+    docs = spark.createDataFrame([(i, "word other thing " * 100 + ("# " * 200 if i % 4 else "...")) for i in range(40)], "doc_id long, text string")
+    rules = quality_rules.base_rules() + quality_rules.default_rules()
+    rejected, work = quality_rules.estimates(docs, rules)
+    assert rejected["symbol_ratio"] == 30.5 / 41 and rejected["few_words"] == 0.5 / 41 and rejected["repetition"] == 40.5 / 41
+    assert (rejected, work) == quality_rules.estimates(docs, rules)
+    names = [r.name for r in quality_rules.ordered(rules, rejected, work, set())]
+    assert names.index("symbol_ratio") < names.index("few_letters") and names.index("repetition") > 0
 
 
 def test_pseudonyms(spark, odd, empty):
@@ -311,7 +371,7 @@ def test_long_values_are_pseudonymised_to_their_end(spark):
     assert all(r.n_pii == 1 for r in got.values())
 
     def kinds(x):
-        return ["0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in x]
+        return [ord(c) // 32 if c > "\x7f" else "0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in x]
 
     for i, text in rows:
         new, fixed = got[i].text, text.partition("=")[0] + "=" if i < 100 else "to "
@@ -327,10 +387,48 @@ def test_long_values_are_pseudonymised_to_their_end(spark):
 
 
 def test_pseudonyms_are_a_permutation(spark):
-    days = spark.range(270 * 271).select(F.col("id").alias("doc_id"), F.date_add(F.lit(pii.FIRST_DAY).cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
-    days = days.where("doc_id % 10 = 0")
-    out = pii.pseudonymised(days, "k")
-    assert out.select("text").distinct().count() == days.count() and out.agg(F.sum("n_pii")).first()[0] == days.count()
+    n = pii.DAYS[0] * pii.DAYS[1]
+    days = spark.range(0, n, 199).select(F.col("id").alias("doc_id"), F.date_add(F.lit(pii.FIRST_DAY).cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
+    out = pii.pseudonymised(days.union(spark.createDataFrame([(n - 1, "9999-12-31")], days.schema)), "k")
+    assert out.select("text").distinct().count() == days.count() + 1 and out.agg(F.sum("n_pii")).first()[0] == days.count() + 1
+    marks = spark.createDataFrame([(a * 30 + b, f"pwd={'!' * 4}{pii.MARKS[a]}{pii.MARKS[b]}") for a in range(30) for b in range(30)], "doc_id long, text string")
+    assert pii.pseudonymised(marks, "k").select("text").distinct().count() == 900
+
+
+def test_pseudonyms_are_a_feistel_network(spark):
+    """Against the network in plain Python."""
+    def number(*parts):
+        return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:14], 16)
+
+    def network(cells, radices, tag):
+        half = len(cells) // 2
+        left, right, m, n = cells[:half], cells[half:], radices[:half], radices[half:]
+        for i in range(1, pii.ROUNDS + 1):
+            joined = ",".join(map(str, right))
+            # the rounds see the radices of the half that they read
+            new = [(a + number("k", tag, i, j, ",".join(map(str, m)), joined)) % m[j] for j, a in enumerate(left)]
+            left, right, m, n = right, new, n, m
+        return left + right
+
+    def card(digits):
+        body = network([int(d) for d in digits[:-1]], [10] * (len(digits) - 1), "card")
+        total = sum(sum(divmod(2 * d, 10)) if i % 2 == 0 else d for i, d in enumerate(reversed(body)))
+        return "".join(map(str, body)) + str(-total % 10)
+
+    cards = ["4041894974608795", "0418949746087950", "9418949746087951", "4111111111111111"]
+    ips = ["42.144.35.254", "0.0.0.0"]
+    want = [card(c) for c in cards] + [".".join(map(str, network([int(x) for x in v.split(".")], [256] * 4, "ipv4"))) for v in ips]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(cards + ips)], "doc_id long, text string")
+    assert [r.text for r in pii.pseudonymised(df, "k").orderBy("doc_id").collect()] == want
+
+
+def test_nothing_found_stays_clear(spark):
+    values = ["password=секретныйпароль", "password=!!!???###$$$", "secret=日本語パスワード😀x", "_@a.com", "pwd: a!!!!!!!", "0001-01-01", "9999-12-31", "1850-06-01"]
+    out = pii.pseudonymised(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, text string"), "the key itself")
+    for r in out.collect():
+        old = values[r.doc_id]
+        assert r.n_pii == 1 and len(r.text) == len(old) and r.text != old
+    assert "the key itself" not in out._jdf.queryExecution().toString()
 
 
 def test_mixing(spark, odd, empty):
@@ -345,15 +443,47 @@ def test_mixing(spark, odd, empty):
         by[r.source] += r.n_tokens
     total, weight = sum(by.values()), {r.source: r.weight for r in got}
     assert abs(sum(weight.values()) - 1) < 1e-9 and all(abs(by[s] / total - w) < 0.01 for s, w in weight.items())
-    blocks = collections.Counter()
+    blocks, where = collections.Counter(), collections.defaultdict(set)
     for r in got:
         blocks[r.block] += r.n_tokens
+        where[r.source].add(r.block)
+    assert all(max(x) - min(x) > max(blocks) / 2 for x in where.values())
+    tiny = [(i, "big", 20) for i in range(3000)] + [(5000 + i, "tiny", 1) for i in range(5)]
+    spread = mixing.mixture(spark.createDataFrame(tiny, "doc_id long, source string, n_tokens long"), mixing.Target(repetitions=2.0), block_tokens=100).where("source = 'tiny'").collect()
+    assert len({r.block for r in spread}) == len(spread) and max(r.block for r in spread) > 300
     assert max(blocks.values()) < 500 + 30 * len(weight)
     assert sorted((r.block, r.position) for r in got) == sorted({(r.block, r.position) for r in got})
     assert mixing.mixture(empty.withColumn("n_tokens", F.lit(1)), mixing.Target(entropy=0.9)).count() == 0
     assert mixing.mixture(odd.withColumn("n_tokens", F.lit(None).cast("long")), mixing.Target(entropy=0.9)).select("doc_id").distinct().count() == len(ODD) + 1
 
 
+def test_mixing_is_brute_force(spark):
+    """Every source's stream against a plain run through its permutations."""
+    random.seed(6)
+    rows = [(i, random.choice("aaaaaabbc"), random.randint(1, 9)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    got = mixing.mixture(docs, mixing.Target(repetitions=1.5), block_tokens=200, seed=3).collect()
+    hashes = {(r.e, r.doc_id): r.h for r in docs.crossJoin(spark.range(4).withColumnRenamed("id", "e")).selectExpr("e", "doc_id", f"shiftrightunsigned(xxhash64(3, e, doc_id), {64 - mixing.HASH_BITS}) AS h").collect()}
+    tokens = collections.Counter()
+    for _, s, n in rows:
+        tokens[s] += n
+    share = {s: t / sum(tokens.values()) for s, t in tokens.items()}
+    a = 1 - np.log(1.5) / np.log(max(share.values()) / min(share.values()))  # repetitions of the ends are as share^(a - 1)
+    weight = {s: x**a / sum(y**a for y in share.values()) for s, x in share.items()}
+    budget = max(tokens[s] / weight[s] for s in tokens)
+    n_blocks = int(np.ceil(budget / 200))
+    want = set()
+    for s in tokens:
+        quota, at, e = int(np.ceil(weight[s] * budget - 1e-6)), 0, 0
+        while at < quota:
+            for _, k, n in sorted((hashes[e, k], k, n) for k, x, n in rows if x == s):
+                if at < quota:
+                    want.add((k, e, min(at * n_blocks // quota, n_blocks - 1)))
+                at += n
+            e += 1
+    assert len(got) == len(want) and len({(r.doc_id, r.epoch, r.block) for r in got} ^ want) <= 2  # quotas at a rounding limit
+
+
 def test_exponent(spark):
     shares = np.array([0.9, 0.09, 0.01])
     table = mixing.source_table(spark.createDataFrame([(str(i), float(s)) for i, s in enumerate(shares)], "source string, n_tokens double"))
