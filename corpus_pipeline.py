@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from entityframe.llm.bpe_tree import encode_documents
 from entityframe.llm.common import read_table, ship, written
-from entityframe.llm.mixing import Target, mixture, n_words
+from entityframe.llm.mixing import Target, mixture, n_pieces
 from entityframe.llm.near_dups import near_duplicates
 from entityframe.llm.pii import pseudonymised
-from entityframe.llm.quality_rules import kept_rows, quality
+from entityframe.llm.quality_rules import passing
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 PII_KEY = "example key; a deployment passes its own"
@@ -24,17 +24,25 @@ REPETITIONS = 2.0
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects; null and empty texts go."""
     ship(spark)
-    return kept_rows(quality(docs.select(*COLUMNS))).select(*COLUMNS)
+    return passing(docs.select(*COLUMNS))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the least id; of repeated rows with this id, one."""
+    """One document of each near-duplicate group, that with the least id; of repeated rows with this id, one.
+
+    Rows with a null id and rows without words are in no group and stay.
+    """
     ship(spark)
-    groups = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id")).distinct()
-    # dropped documents are few beside kept ones; rows with a null id aren't compared and stay
-    kept = docs.join(groups, docs["doc_id"].eqNullSafe(groups["id"]), "left_semi").select(*COLUMNS)
-    named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id IS NULL"))
+    found = near_duplicates(docs)
+    best = found.where("kept AND component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("id"), F.min("row").alias("key")).drop("component")
+    free = found.where("component IS NULL").select(F.col("doc_id").alias("id"), F.col("row").alias("key")).distinct()
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("__row"))
+
+    def kept(keys: DataFrame) -> DataFrame:
+        return rows.join(keys, rows["doc_id"].eqNullSafe(keys["id"]) & (rows["__row"] == keys["key"]), "left_semi")
+
+    # rows that share id and text are one document
+    return kept(best).dropDuplicates(["doc_id", "__row"]).unionByName(kept(free)).select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +52,16 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once at least, and those of small sources again up to the repetition limit."""
+    """The mixed stream in its order, block by block: every document once at least, those of small sources again up to
+    the repetition limit. Files and rows follow the stream; the columns are those of documents."""
     ship(spark)
-    stream = mixture(docs.select("doc_id", "source", n_words("text").alias("n_tokens")), Target(repetitions=REPETITIONS))
-    copies = stream.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"))
-    mixed = docs.join(copies, docs["doc_id"].eqNullSafe(copies["id"]))
-    # null ids share a count of copies, which their rows come to together
-    rows = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.col("n")).cast("int")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), rows))).select(*COLUMNS)
+    # equal rows are one content, which comes as often as all of them together
+    keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("__row"))
+    tokens = keyed.select(F.struct("doc_id", "__row").alias("key"), "source", n_pieces("text").alias("n_tokens"))
+    stream = mixture(tokens, Target(repetitions=REPETITIONS), id_col="key").select(F.col("doc_id.doc_id").alias("id"), F.col("doc_id.__row").alias("row"), "block", "position")
+    contents = keyed.dropDuplicates(["doc_id", "__row"])
+    mixed = stream.join(contents, stream["id"].eqNullSafe(contents["doc_id"]) & (stream["row"] == contents["__row"]))
+    return mixed.repartitionByRange("block", "position").sortWithinPartitions("block", "position").select(*COLUMNS)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +74,8 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_stage), ("near-duplicates", near_dup_stage), ("personal data", pii_stage), ("source mixing", mixing_stage), ("byte-level BPE", bpe_stage)]
 
-#: The hashes of pseudonyms, permutations and tokenizer merges have no SQL form; tests hold the stages against brute force.
+#: The hashes of pseudonyms, permutations and tokenizer merges have no SQL form; tests hold each stage against brute force
+#: or, where it permutes, against the operator's own plain-Python form.
 ORACLE_SQL = None
 
 
