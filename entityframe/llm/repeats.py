@@ -7,8 +7,9 @@ concatenates the runs of whole anchors into a text of bounded size, sorts its su
 intervals of the transform breadth-first to the left: boundaries get their common prefix by increasing value, and those
 that have none when `length` is reached separate suffixes that share a window.
 
-Anchors with more distinct runs than a task should hold go another exact way: their runs are split again and again,
-parts that occur again as a whole or whose common bytes occur once are settled by counting, down to single windows.
+Anchors with more distinct runs than a task should hold are split: their runs are cut at fixed distances from the anchor
+and meet by the bytes that a part's windows share, again and again until few enough meet for a transform. Single windows
+need none, as they are equal or not.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .topk_search import small_batches
 LENGTH, GRAM = 400, 48
 #: Distinct runs of an anchor that one task compares, and bytes of a text that is transformed at once.
 MOST_RUNS, TEXT_BYTES = 400, 1 << 17
+#: Counts of symbols that an expansion holds at once.
+COUNTED = 1 << 21
 #: Bytes of a text hashed at once; windows never depend on the cut.
 SEGMENT = 1 << 21
 #: Parts into which a run of a very common anchor is split in a round.
@@ -79,6 +82,27 @@ def runs_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tuple[i
     return out
 
 
+def _counter(last: np.ndarray, n_symbols: int):
+    """A function of places i: how often each symbol but the first stands before them.
+
+    Bits mark each symbol's places in words of 64; sums stand before each word, so a text of n symbols takes
+    12 * n_symbols / 64 bytes a symbol.
+    """
+    n_words = len(last) // 64 + 1
+    at = np.arange(len(last))
+    bits = np.zeros(n_symbols * n_words, _U64)
+    np.bitwise_or.at(bits, last * n_words + (at >> 6), _U64(1) << (at & 63).astype(_U64))
+    bits = bits.reshape(n_symbols, n_words)[1:]
+    sums = np.bitwise_count(bits).astype(np.int32)
+    sums = np.cumsum(sums, axis=1, dtype=np.int32) - sums
+
+    def count(i: np.ndarray) -> np.ndarray:
+        word, mask = i >> 6, (_U64(1) << (i & 63).astype(_U64)) - _U64(1)
+        return sums[:, word] + np.bitwise_count(bits[:, word] & mask)
+
+    return count
+
+
 def repeated_windows(runs: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each run, whether each of its windows occurs at another place of the runs too."""
     sizes = np.array([len(r) for r in runs])
@@ -102,19 +126,20 @@ def repeated_windows(runs: list[bytes], length: int = LENGTH) -> list[np.ndarray
         key = (rank << _U64(32)) | np.append(rank[done:], np.zeros(min(done, n), _U64))[:n]
         done *= 2
     symbols, dense = np.unique(text, return_inverse=True)
-    last = dense[order - 1]  # the transform
-    counts = np.zeros((len(symbols), n + 1), np.int32)
-    for c in range(1, len(symbols)):
-        np.cumsum(last == c, out=counts[c, 1:])
+    count = _counter(dense[order - 1], len(symbols))  # over the transform
     starts = np.searchsorted(np.sort(dense), np.arange(len(symbols)))[1:, None]
-    counts = counts[1:]
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
     low, high = np.array([0]), np.array([n])
+    at_once = max(1, COUNTED // len(symbols))
     for _ in range(length):  # common prefixes of 0, 1, 2, ... bytes
-        left, right = starts + counts[:, low], starts + counts[:, high]
-        new = (right > left) & ~known[right]
-        low, high = left[new], right[new]
+        lows, highs = [], []
+        for i in range(0, len(low), at_once):
+            left, right = starts + count(low[i : i + at_once]), starts + count(high[i : i + at_once])
+            new = (right > left) & ~known[right]
+            lows.append(left[new])
+            highs.append(right[new])
+        low, high = np.concatenate(lows), np.concatenate(highs)
         if not len(low):
             break
         known[high] = True
@@ -201,7 +226,8 @@ def _by_transform(contexts: DataFrame, length: int) -> DataFrame:
 
 def _by_splitting(contexts: DataFrame, length: int) -> DataFrame:
     """The same for runs of very common anchors. Equal windows lie at equal distances from their anchors, so runs are cut
-    at fixed distances: equal parts are cut alike, and the bytes that all windows of a cell share can be compared."""
+    at fixed distances: equal parts are cut alike, and parts with equal windows share the bytes that all windows of a
+    cell have. Where few enough parts share these, they are transformed."""
 
     def cut(batches, size: int):
         for batch in batches:
@@ -236,10 +262,15 @@ def _by_splitting(contexts: DataFrame, length: int) -> DataFrame:
         again = hit if again is None else again.unionByName(hit)
         # parts whose cell's common bytes no other part has are settled too
         cores = one.groupBy("k1", "k2", "cell").agg(F.count("*").alias("rows"), F.min("m").alias("least")).where("rows > 1 AND least = 1")
-        cores = cores.select(F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), F.col("cell").alias("cell_"))
+        cores = cores.select(F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), F.col("cell").alias("cell_"), (F.col("rows") > MOST_RUNS).alias("crowded"))
         core = (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_")) & (F.col("cell") == F.col("cell_"))
-        open_ = one.where("x.hi - x.lo > 1").join(cores, core, "left_semi").select("x.c1", "x.c2", F.col("m").alias("n"), "x.p", "x.lo", "x.hi")
-        open_, size = written(open_, "open"), size // SPLIT
+        live = one.where("x.hi - x.lo > 1").join(cores, core).select("x.c1", "x.c2", F.col("m").alias("n"), "x.p", "x.lo", "x.hi", F.xxhash64("k1", "k2", "cell").alias("a"), "crowded")
+        live, size = written(live, "open"), size // SPLIT
+        ready = live.where("NOT crowded").join(bytes_, (F.col("c1") == F.col("c1_")) & (F.col("c2") == F.col("c2_")))
+        ready = ready.select("a", F.col("c1").alias("doc_id"), F.col("c2").alias("row"), F.col("lo").alias("s"), F.expr(f"substring(bytes, lo + 1, hi - lo + {length - 1})").alias("bytes"), "n")
+        met = written(_by_transform(ready, length), "part-spans")
+        again = again.unionByName(met.select(F.col("doc_id").alias("c1"), F.col("row").alias("c2"), F.col("s").alias("lo"), F.col("e").alias("hi")))
+        open_ = live.where("crowded").select("c1", "c2", "n", "p", "lo", "hi")
     if again is None:
         return contexts.select("doc_id", "row", "s", F.col("s").alias("e")).where("false")
     own = contexts.where("n = 1").select(F.col("c1").alias("c1_"), F.col("c2").alias("c2_"), "doc_id", "row", F.col("s").alias("start"))
