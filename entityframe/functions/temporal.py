@@ -21,6 +21,41 @@ def date_format(value: Column, pattern: str) -> Column:
     return F.date_format(value, out)
 
 
+def raw_format(value: Column, pattern: str) -> Column:
+    """By one of Spark's own patterns."""
+    return F.date_format(value, pattern)
+
+
+def parsed(text: Column, pattern: str) -> Column:
+    """A time by a strftime pattern; null if the text doesn't follow it."""
+    java = "".join(STRFTIME.get(x) or "'" + x.replace("'", "''") + "'" for x in re.findall(r"%[YmdHMS%]|(?:(?!%[YmdHMS%]).)+", pattern, re.S))
+    return F.try_to_timestamp(text, F.lit(java))
+
+
+def difference(unit: str, earlier: Column, later: Column) -> Column:
+    """Whole units from one time to another."""
+    return F.timestamp_diff(unit.upper(), earlier, later)
+
+
+def to_rfc3339(value: Column) -> Column:
+    """In whole seconds, in UTC."""
+    return F.date_format(F.to_utc_timestamp(value, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def from_rfc3339(text: Column) -> Column:
+    """With an offset or Z, and fractions of seconds if there are any; null for anything else."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"), F.upper(text).try_cast("timestamp"))
+
+
+def age(since: Column, now: Column) -> Column:
+    """The time passed in its largest whole unit: `3d`, `7h`, `5m`, `2s`; a time to come counts as now."""
+    s = F.greatest(F.unix_seconds(now) - F.unix_seconds(since), F.lit(0))
+    out = F.concat(s.cast("string"), F.lit("s"))
+    for size, unit in ((60, "m"), (3600, "h"), (86400, "d")):
+        out = F.when(s >= size, F.concat(F.floor(s / size).cast("string"), F.lit(unit))).otherwise(out)
+    return out
+
+
 def add_interval(value: Column, n: int, unit: str, calendar: bool = True) -> Column:
     """n units later: by the calendar, or as whole days."""
     unit = unit.lower().rstrip("s")

@@ -23,6 +23,16 @@ def concat_ws(sep: str, *parts: Column, skip_nulls: bool = True) -> Column:
     return F.concat(*woven)
 
 
+def length(text: Column) -> Column:
+    """Characters of a text."""
+    return F.char_length(text)
+
+
+def regexp_substr(text: Column, pattern: str) -> Column:
+    """The first match, null without one."""
+    return F.regexp_substr(text, F.lit(pattern))
+
+
 def words(text: Column) -> Column:
     """The words of a text; blanks separate, none for a blank text."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")

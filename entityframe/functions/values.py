@@ -14,6 +14,24 @@ def case(*branches: tuple[Column, object], otherwise: object = None) -> Column:
     return out.otherwise(otherwise) if otherwise is not None else out
 
 
+def if_null(value: Column, other: object) -> Column:
+    return F.coalesce(value, other if isinstance(other, Column) else F.lit(other))
+
+
+def type_of(value: Column) -> Column:
+    """The name of a value's type."""
+    return F.typeof(value)
+
+
+def unhex_uuid(text: Column) -> Column:
+    """The 16 bytes of a UUID, and back by `uuid_text`."""
+    return F.unhex(F.replace(text, F.lit("-"), F.lit("")))
+
+
+def uuid_text(raw: Column) -> Column:
+    return F.regexp_replace(F.lower(F.hex(raw)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
 def iif(condition: Column, yes: object, no: object) -> Column:
     return F.when(condition, yes).otherwise(no)
 
@@ -28,20 +46,27 @@ def json_extract(document: Column, *path: str | int, as_json: bool = False) -> C
     return F.to_json(F.variant_get(F.try_parse_json(document), at, "variant"))
 
 
+NUMBER = r"^([+-]?\d+(?:\.\d*)?(?:[eE][+-]?\d+)?)"
+
+
 def cpu_millicores(text: Column) -> Column:
-    """`250m` is 250, `2` is 2000; null for anything else."""
-    number = F.regexp_extract(text, r"^(\d+(?:\.\d+)?)(m?)$", 1).try_cast("double")
-    return F.round(F.when(text.endswith("m"), number).otherwise(number * 1000)).cast("long")
+    """`250m` is 250, `2` is 2000, `4523122n` is 5 (micro and nano are rounded); null for anything else."""
+    number, suffix = (F.regexp_extract(F.trim(text), NUMBER + r"\s*([num]?)$", i) for i in (1, 2))
+    return _scaled(number, suffix, {"n": 1e-6, "u": 1e-3, "m": 1.0, "": 1e3})
 
 
 #: Factors of memory suffixes (fixed values).
-MEMORY = {"": 1, "k": 10**3, "M": 10**6, "G": 10**9, "T": 10**12, "Ki": 1 << 10, "Mi": 1 << 20, "Gi": 1 << 30, "Ti": 1 << 40}
+MEMORY = {"": 1, "k": 10**3, "K": 10**3, "M": 10**6, "G": 10**9, "T": 10**12, "P": 10**15, "E": 10**18, "Ki": 1 << 10, "Mi": 1 << 20, "Gi": 1 << 30, "Ti": 1 << 40, "Pi": 1 << 50, "Ei": 1 << 60}
 
 
 def memory_bytes(text: Column) -> Column:
-    """`64Mi` in bytes; null for anything else."""
-    number, suffix = (F.regexp_extract(text, r"^(\d+(?:\.\d+)?)([A-Za-z]*)$", i) for i in (1, 2))
-    factor = F.try_element_at(F.create_map(*[F.lit(x) for kv in MEMORY.items() for x in (kv[0], float(kv[1]))]), suffix)
+    """`64Mi` in bytes, `1e9` too; null for anything else."""
+    number, suffix = (F.regexp_extract(F.trim(text), NUMBER + r"\s*([A-Za-z]*)$", i) for i in (1, 2))
+    return _scaled(number, suffix, MEMORY)
+
+
+def _scaled(number: Column, suffix: Column, factors: dict[str, float]) -> Column:
+    factor = F.try_element_at(F.create_map(*[F.lit(x) for k, v in factors.items() for x in (k, float(v))]), suffix)
     return F.round(number.try_cast("double") * factor).cast("long")
 
 

@@ -23,21 +23,27 @@ def count_where(**equal) -> Column:
     return F.count_if(out)
 
 
+def numbers(name: str) -> Column:
+    """A numeric column's cells as doubles; text and truth values are no numbers, whatever they look like."""
+    c = F.col(name)
+    return F.when(F.typeof(c).rlike("^(tinyint|smallint|int|bigint|float|double|decimal.*)$"), c.try_cast("double"))
+
+
 def total(name: str) -> Column:
     """Sum as double, 0 without a number."""
-    return F.coalesce(F.sum(F.col(name).try_cast("double")), F.lit(0.0))
+    return F.coalesce(F.sum(numbers(name)), F.lit(0.0))
 
 
 def average(name: str) -> Column:
-    return F.avg(F.col(name).try_cast("double"))
+    return F.avg(numbers(name))
 
 
 def least(name: str) -> Column:
-    return F.min(F.col(name).try_cast("double"))
+    return F.min(numbers(name))
 
 
 def greatest(name: str) -> Column:
-    return F.max(F.col(name).try_cast("double"))
+    return F.max(numbers(name))
 
 
 def distinct(name: str) -> Column:
@@ -51,6 +57,11 @@ def sum_integers(name: str) -> Column:
     return F.sum(F.when(c.isNull() | (c == F.floor(c)), c).otherwise(F.raise_error(F.lit(f"{name} holds a value that is no whole number")).cast("double"))).cast("long")
 
 
+def whole(aggregate: Column) -> Column:
+    """An aggregate rounded to a whole number, as some dialects cast sums and means."""
+    return F.round(aggregate).cast("long")
+
+
 CATALOGUE: dict[str, Callable[[str | None], Column]] = {"count": count, "sum": total, "avg": average, "min": least, "max": greatest, "distinct": distinct}
 
 
@@ -86,4 +97,5 @@ def joined(column: Column | str, sep: str = ",", by: Column | None = None, uniqu
     rows = F.collect_set(c) if unique else F.collect_list(c)
     if by is None:
         return F.array_join(F.array_sort(rows), sep)
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by.alias("k"), c.alias("v")))), lambda x: x["v"]), sep)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(by.alias("k"), c.alias("v")))), lambda x: x["v"])
+    return F.array_join(F.array_distinct(ordered) if unique else ordered, sep)

@@ -13,6 +13,14 @@ def order(column: Column | str, descending: bool = False, nulls: str | None = No
     return getattr(c, direction if nulls is None else f"{direction}_nulls_{nulls}")()
 
 
+#: Where a dialect puts nulls in ascending order; descending turns it round.
+NULLS_LOW = {"sqlite": True, "mysql": True, "postgres": False}
+
+
+def dialect_order(column: Column | str, dialect: str, descending: bool = False) -> Column:
+    return order(column, descending, "first" if NULLS_LOW[dialect] != descending else "last")
+
+
 def view_order(column: str, id_column: str, descending: bool = False) -> list[Column]:
     """Of live views: nulls last in both directions, ties by id."""
     return [order(column, descending, "last"), order(id_column)]

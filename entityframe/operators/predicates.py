@@ -13,7 +13,8 @@ SQL_OPS = {"eq": operator.eq, "ne": operator.ne, "gt": operator.gt, "gte": opera
 
 
 def condition(column: Column, op: str, value) -> Column:
-    """SQL semantics: eq, ne, gt, gte, lt, lte, in, not_in, like, ilike, regexp, contains, starts_with, between, is_null, not_null."""
+    """SQL semantics: eq, ne, gt, gte, lt, lte, in, not_in, like, ilike, regexp, contains, starts_with, between, inside,
+    is_null, not_null; ne_or_null also holds for a null, and not negates a condition given as the column."""
     match op:
         case "in":
             return column.isin(list(value))
@@ -29,6 +30,12 @@ def condition(column: Column, op: str, value) -> Column:
             return column.startswith(value)
         case "between":
             return column.between(*value)
+        case "inside":
+            return F.array_contains(value, column) if isinstance(value, Column) else column.isin(list(value))
+        case "ne_or_null":
+            return column.isNull() | (column != value)
+        case "not":
+            return ~column
         case "is_null":
             return column.isNull()
         case "not_null":

@@ -82,7 +82,7 @@ def qlang_search(t: Tables):
     return tokens(catalog(t), "nations", "?NATION_1", "=n_nationkey,n_name")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_name END AS c_name FROM customer UNION ALL SELECT -c_custkey, 'new' FROM customer WHERE c_custkey <= 5")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_name END AS c_name FROM customer UNION SELECT -c_custkey, 'new' FROM customer WHERE c_custkey <= 5")
 def upsert_replace(t: Tables):
     table = t.customer.select("c_custkey", "c_name")
     rows = table.where("c_custkey % 3 = 0").unionByName(table.where("c_custkey <= 5").withColumn("c_custkey", -c("c_custkey"))).withColumn("c_name", F.lit("new"))

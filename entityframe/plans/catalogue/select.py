@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...operators import ordering, predicates
+from ...operators import relations, ordering, predicates
 from ...operators.sets import SetChain
 from .base import Tables, query
 
@@ -172,33 +172,29 @@ def cte_chain(t: Tables):
     return top.join(t.customer, c("c_custkey") == c("o_custkey")).where(c("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey", "c_mktsegment", "n", "spent")
 
 
-@query("""WITH RECURSIVE r AS (
+_TREE = """WITH RECURSIVE r AS (
   SELECT p_partkey AS id, CAST(p_partkey AS VARCHAR) AS path, 0 AS depth FROM part WHERE p_partkey = 1
   UNION ALL
-  SELECT p.p_partkey, r.path || '/' || p.p_partkey, r.depth + 1 FROM part AS p JOIN r ON CAST(floor(p.p_partkey / 2) AS BIGINT) = r.id WHERE p.p_partkey > 1 AND r.depth < 6)
-SELECT id, path, depth FROM r""")
+  SELECT p.p_partkey, r.path || '/' || p.p_partkey, r.depth + 1 FROM part AS p JOIN r ON CAST(floor(p.p_partkey / 2) AS BIGINT) = r.id WHERE p.p_partkey > 1)
+SELECT id, path, depth FROM r"""
+
+
+def _tree(t: Tables):
+    """Each part below part 1 under the one of half its number, down to the last child."""
+    nodes = t.part.where("p_partkey > 1").select(c("p_partkey").alias("id"), F.expr("p_partkey DIV 2").alias("parent"))
+    roots = t.part.where("p_partkey = 1").select(c("p_partkey").alias("id"), c("p_partkey").cast("string").alias("path"), F.lit(0).alias("depth"))
+    child = lambda rows: rows.select("id", F.concat("up.path", F.lit("/"), c("id").cast("string")).alias("path"), (c("up.depth") + 1).alias("depth"))
+    return relations.descend(nodes, "id", "parent", roots, child)
+
+
+@query(_TREE)
 def recursive_tree(t: Tables):
-    t.part.select("p_partkey").createOrReplaceTempView("entityframe_tree")
-    return t.spark.sql("""WITH RECURSIVE r(id, path, depth) AS (
-      SELECT p_partkey, CAST(p_partkey AS STRING), 0 FROM entityframe_tree WHERE p_partkey = 1
-      UNION ALL
-      SELECT p.p_partkey, r.path || '/' || p.p_partkey, r.depth + 1 FROM entityframe_tree AS p JOIN r ON p.p_partkey DIV 2 = r.id WHERE p.p_partkey > 1 AND r.depth < 6)
-    SELECT id, path, depth FROM r""")
+    return _tree(t)
 
 
-@query("""WITH RECURSIVE r AS (
-  SELECT p_partkey AS id, CAST(p_partkey AS VARCHAR) AS path, 0 AS depth FROM part WHERE p_partkey = 1
-  UNION ALL
-  SELECT p.p_partkey, r.path || '/' || p.p_partkey, r.depth + 1 FROM part AS p JOIN r ON CAST(floor(p.p_partkey / 2) AS BIGINT) = r.id WHERE p.p_partkey > 1)
-SELECT id, path, depth FROM r""")
+@query(_TREE)
 def recursive_tree_all(t: Tables):
-    """Down to the last child; more rows than Spark's limit for recursion (a million) are an error, never a shorter result."""
-    t.part.select("p_partkey").createOrReplaceTempView("entityframe_tree")
-    return t.spark.sql("""WITH RECURSIVE r(id, path, depth) AS (
-      SELECT p_partkey, CAST(p_partkey AS STRING), 0 FROM entityframe_tree WHERE p_partkey = 1
-      UNION ALL
-      SELECT p.p_partkey, r.path || '/' || p.p_partkey, r.depth + 1 FROM entityframe_tree AS p JOIN r ON p.p_partkey DIV 2 = r.id WHERE p.p_partkey > 1)
-    SELECT id, path, depth FROM r""")
+    return _tree(t)
 
 
 @query("SELECT o_orderstatus, n FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus) AS d WHERE n <> 1")

@@ -8,15 +8,14 @@ from ...streaming import changes, views
 from .base import Tables, query
 
 c = F.col
-_LATEST = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_id % 3 <> 0"
+_LATEST = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events"
 
 
 @query(f"""WITH last AS (SELECT user_id, event_type, value FROM ({_LATEST}) WHERE n = 1)
 SELECT user_id AS id, event_type AS kind, value FROM last WHERE event_type <> 'click'
-UNION ALL SELECT DISTINCT -user_id, 'old', 0.0 FROM events WHERE user_id BETWEEN 1 AND 19""")
+UNION ALL SELECT DISTINCT -user_id, 'old', 0.0 FROM events WHERE -user_id NOT IN (SELECT user_id FROM events)""")
 def change_apply_latest(t: Tables):
-    table = t.events.where("user_id BETWEEN 1 AND 19").select((-c("user_id")).alias("id"))
-    return _applied(table, t.events.where("event_id % 3 <> 0"))
+    return _applied(t.events.select(c("user_id").alias("id")).union(t.events.select(-c("user_id"))), t.events)
 
 
 _LAST = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events"

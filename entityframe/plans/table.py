@@ -27,13 +27,25 @@ class ColumnSpec:
 
 @dataclass(frozen=True)
 class Reference:
-    """has_one: own key to the target's id. has_many: own id to the target's key."""
+    """has_one: own key to the target's id. has_many: own id to the target's key. Several keys: own names to theirs."""
 
     name: str
     many: bool
-    key: str
+    key: str | dict[str, str]
     target: Callable[[], Table]
 
+    def pairs(self, own: Table, target: Table) -> list[tuple[str, str]]:
+        """Own columns and the target's that have to be equal."""
+        if isinstance(self.key, dict):
+            return list(self.key.items())
+        return [(own._id(), self.key) if self.many else (self.key, target._id())]
+
+
+def _matching(rows: DataFrame, others: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """The rows whose columns all equal those of some other row."""
+    keys = others.select(*[F.col(b).alias(f"__key{i}") for i, (_, b) in enumerate(pairs)])
+    return rows.join(keys, [rows[a] == keys[f"__key{i}"] for i, (a, _) in enumerate(pairs)], "left_semi")
+
 
 @dataclass
 class Table:
@@ -114,10 +126,10 @@ class Table:
     def with_window(self, offset: int, limit: int) -> Table:
         return self._with(paging=(offset, limit))
 
-    def has_one(self, name: str, key: str, target: Callable[[], Table]) -> Table:
+    def has_one(self, name: str, key: str | dict[str, str], target: Callable[[], Table]) -> Table:
         return self._with(references=self.references | {name: Reference(name, False, key, target)})
 
-    def has_many(self, name: str, key: str, target: Callable[[], Table]) -> Table:
+    def has_many(self, name: str, key: str | dict[str, str], target: Callable[[], Table]) -> Table:
         return self._with(references=self.references | {name: Reference(name, True, key, target)})
 
     def contains(self, column: str, many: bool) -> Table:
@@ -179,17 +191,21 @@ class Table:
         """The related rows of all rows of this table."""
         ref = self.references[name]
         target = ref.target()
-        own, theirs = (self._id(), ref.key) if ref.many else (ref.key, target._id())
-        return target._with(source=referenced(target.source, theirs, self.rows(), own))
+        pairs = ref.pairs(self, target)
+        if len(pairs) == 1:
+            own, theirs = pairs[0]
+            return target._with(source=referenced(target.source, theirs, self.rows(), own))
+        return target._with(source=_matching(target.source, self.rows(), [(theirs, own) for own, theirs in pairs]))
 
     def get_ref_from_row(self, name: str, row) -> Table:
         """The related rows of one known row; written rows get its key."""
         ref = self.references[name]
         target = ref.target()
-        if ref.many:
-            value = row[self._id()]
-            return target.where(ref.key, "eq", value)._with(invariants=target.invariants | {ref.key: value})
-        return target.where(target._id(), "eq", row[ref.key])
+        for own, theirs in ref.pairs(self, target):
+            target = target.where(theirs, "eq", row[own])
+            if ref.many:
+                target = target._with(invariants=target.invariants | {theirs: row[own]})
+        return target
 
     def get_contained(self, column: str) -> DataFrame:
         keep = [self.id_column] if self.id_column else []
@@ -206,10 +222,28 @@ class Table:
         """Each row with an aggregate over its related rows: one grouped pass and a left join, not a subquery for each row."""
         ref = self.references[reference]
         target = ref.target()
-        theirs, own = (ref.key, self._id()) if ref.many else (target._id(), ref.key)
-        side = target.rows().groupBy(F.col(theirs).alias("__key")).agg(value.alias(name))
-        rows = self.rows()
-        return rows.join(side, rows[own] == side["__key"], "left").drop("__key")
+        pairs, rows, theirs = ref.pairs(self, target), self.rows(), target.rows()
+        if self.conditions:  # only what some row asks for is aggregated
+            theirs = _matching(theirs, rows, [(b, a) for a, b in pairs])
+        side = theirs.groupBy(*[F.col(b).alias(f"__key{i}") for i, (_, b) in enumerate(pairs)]).agg(value.alias(name))
+        on = [rows[a] == side[f"__key{i}"] for i, (a, _) in enumerate(pairs)]
+        return rows.join(side, on, "left").drop(*[f"__key{i}" for i in range(len(pairs))])
+
+    def scalar(self, value: Column) -> Column:
+        """An aggregate over all rows as an expression of another query."""
+        return self.rows().agg(value).scalar()
+
+    def add_temporary_order(self, key: Column) -> int:
+        handle = next(self._handles)
+        self.orders = self.orders | {handle: key}
+        return handle
+
+    def remove_temporary_order(self, handle: int) -> None:
+        self.orders = {k: v for k, v in self.orders.items() if k != handle}
+
+    def first(self) -> DataFrame:
+        """The first row, or none."""
+        return self.df.limit(1)
 
     @classmethod
     def derived(cls, name: str, base: Table, modify: Callable[[DataFrame], DataFrame], columns: list[str], references: list[str] = ()) -> Table:

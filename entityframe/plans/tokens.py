@@ -39,6 +39,7 @@ class Query:
         self.table: Table = catalog[f"{model}s" if self.single else model]
         self.columns: list[str] | None = None
         self.result: DataFrame | None = None
+        self.must: str | None = None
 
     def kind(self, name: str) -> T.DataType | None:
         fields = {f.name: f.dataType for f in self.table.rows().schema.fields}
@@ -79,8 +80,8 @@ class Query:
             raise ValueError(f"unknown token {token}")
 
     def slice(self, token: str) -> None:
-        m = re.fullmatch(r"\[(?:([+-])(\w+))?:?(\d*)(:?)(\d*)\]", token)
-        if not m:
+        m = re.fullmatch(r"\[(?:([+-])(\w+)(?::(?=\d|:))?)?(\d*)(:?)(\d*)\]", token)
+        if not m or token == "[]":
             raise ValueError(f"unknown token {token}")
         sign, name, first, colon, last = m.groups()
         if name:
@@ -89,7 +90,7 @@ class Query:
             start = int(first or 0)
             self.table = self.table.with_window(start, max(0, int(last) - start) if last else (1 << 31) - 1 - start)
         elif first:
-            self.table, self.single = self.table.with_window(int(first), 1), True
+            self.table, self.single, self.must = self.table.with_window(int(first), 1), True, f"{token} is beyond the last row"
 
     def traverse(self, name: str) -> None:
         if not self.single:
@@ -104,11 +105,17 @@ class Query:
         if self.result is not None:
             return self.result
         out = self.table.df.limit(1) if self.single else self.table.df
+        if self.must:
+            if out.isEmpty():
+                raise ValueError(self.must)
         return out.select(*self.columns) if self.columns else out
 
 
 def query(catalog: Catalog, model: str, *tokens: str) -> DataFrame:
+    model, _, located = model.partition(":")  # `orders:7` is the row with that id
     q = Query(catalog, model)
+    if located:
+        q.apply(f"id={located}")
     for t in tokens:
         q.apply(t)
     return q.df()

@@ -4,30 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.writes import latest
+
 
 def last_changes(changes: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
     """The last change of each id; one after the last invalidation only, which has no id."""
     valid = changes.agg(F.coalesce(F.max(F.when(F.col("op") == "invalidated", F.col(seq))), F.lit(-1)).alias("__from"))
-    w = Window.partitionBy(key).orderBy(F.col(seq).desc())
-    rows = changes.where("op <> 'invalidated'").join(F.broadcast(valid), F.col(seq) > F.col("__from"))  # one row
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__from")
+    rows = changes.where("op <> 'invalidated'").where(F.col(seq) > valid.scalar())
+    return latest(rows, key, seq)
 
 
 def applied(table: DataFrame, changes: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
     """The table after the changes. Applying them again changes nothing, in whatever order they come."""
-    last = last_changes(changes, key, seq)
-    kept = table.join(last.select(F.col(key).alias("__k")), table[key] == F.col("__k"), "left_anti")
-    return kept.unionByName(last.where("op <> 'deleted'").select(*table.columns))
+    last = last_changes(changes, key, seq).select("op", F.col(key).alias("__k"), F.struct(*table.columns).alias("__new"))
+    # one join for rows that stay, go, are replaced or come
+    both = table.select(F.struct(*table.columns).alias("__old"), F.col(key).alias("__id")).join(last, F.col("__id") == F.col("__k"), "full")
+    row = F.when(F.col("op").isNull(), F.col("__old")).when(F.col("op") != "deleted", F.col("__new"))
+    return both.select(row.alias("__row")).where("__row IS NOT NULL").select(*[F.col("__row").getField(name).alias(name) for name in table.columns])
 
 
 class TableState:
     """Versions of a table in a folder, each written whole, so a lost job leaves the last one as it was."""
 
     def __init__(self, spark, folder: str, empty: DataFrame, reload: Callable[[], DataFrame] | None = None):
-        self.spark, self.folder, self.empty, self.reload, self.version = spark, folder, empty, reload, -1
+        self.spark, self.folder, self.empty, self.reload = spark, folder, empty, reload
+        try:  # a restart goes on from the newest whole version
+            self.version = spark.read.parquet(folder).agg(F.coalesce(F.max("v"), F.lit(-1))).first()[0]
+        except AnalysisException:
+            self.version = -1
 
     def current(self) -> DataFrame:
         return self.empty if self.version < 0 else self.spark.read.schema(self.empty.schema).parquet(f"{self.folder}/v={self.version}")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .changes import TableState
+
 
 def live_groups(stream: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
     return stream.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
@@ -33,9 +35,9 @@ def once(stream: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
     return stream.dropDuplicates(keys)
 
 
-def kept_up(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Runs over what is there, into an in-memory table of this name."""
-    return stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def kept_up(stream: DataFrame, state: TableState, checkpoint: str) -> StreamingQuery:
+    """Runs over what is there; each batch's whole result is a version of the state's table, so none goes to the driver."""
+    return stream.writeStream.outputMode("complete").foreachBatch(state.commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def derived(source: Callable[[], DataFrame], reducer: Callable[[DataFrame], DataFrame], publish: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
@@ -45,7 +47,9 @@ def derived(source: Callable[[], DataFrame], reducer: Callable[[DataFrame], Data
     def batch(_: DataFrame, epoch: int) -> None:
         out = reducer(source()).persist()
         try:
-            mark = out.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*out.columns).cast("decimal(38,0)")).alias("h")).first()
+            # a plain hash of columns leaves nulls out, so a value that moves to another column would go unseen
+            marks = [x for name in out.columns for x in (F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))]
+            mark = out.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*marks).cast("decimal(38,0)")).alias("h")).first()
             if seen != [tuple(mark)]:
                 publish(out)
                 seen[:] = [tuple(mark)]
