@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import new_folder, shared_dir, written
 from ..shipping import ship
 
 __all__ = ["BLANKS", "new_folder", "prefix_sums", "read_table", "shared_dir", "ship", "written"]
@@ -16,31 +14,6 @@ __all__ = ["BLANKS", "new_folder", "prefix_sums", "read_table", "shared_dir", "s
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
-
-    Where it is unset, a session of one machine gets a folder of its own; a cluster has to name one.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="entityframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage and outlives executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path, partitionBy=list(partition_by) or None)
-    return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
