@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -22,6 +23,8 @@ from .vocab import Memory, Pieces, broadcast_file, built, words
 
 #: Up to this many bytes the lowest-ranked merges are done directly; ids that decoding joins at a leaf.
 LEAF_BYTES, LEAF_IDS = 16, 256
+#: Words that a worker remembers.
+MEMORY_WORDS = 600_000
 
 
 class TreeBpe:
@@ -32,7 +35,7 @@ class TreeBpe:
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.text_of = {v: str(v) for v in self.bytes_of}
         self.pieces = Pieces(pattern)
-        self.memory = Memory(lambda new: [self._word(w) for w in new])
+        self.memory = Memory(lambda new: [self._word(w) for w in new], MEMORY_WORDS)
 
     def leaf(self, data: bytes) -> list[int]:
         """Merges of the lowest-ranked neighbouring pair, the leftmost first, until none is left."""
@@ -103,9 +106,10 @@ class TreeBpe:
             level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0] if level else []
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
+        """A word's ids as packed numbers, which take little memory."""
         word = word.removeprefix("\0") if word[:1] == "\0" else word if word[:1] == "\n" else " " + word
-        return tuple(chain.from_iterable(self.encode_piece(p.encode()) for p in self.pieces(word)))
+        return array("I", chain.from_iterable(self.encode_piece(p.encode()) for p in self.pieces(word))).tobytes()
 
     def encode(self, text: str) -> list[int]:
         found = words(text) if "\0" not in text else None
@@ -113,7 +117,7 @@ class TreeBpe:
             return list(chain.from_iterable(self.encode_piece(p.encode()) for p in self.pieces(text)))
         if found[0][:1] != "\n":
             found[0] = "\0" + found[0]  # no space before it
-        return list(chain.from_iterable(self.memory.look_up(found)))
+        return array("I", b"".join(self.memory.look_up(found))).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of the ids: leaves of some ids each, whose neighbours are concatenated level by level up the tree."""

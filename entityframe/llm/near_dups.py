@@ -36,8 +36,8 @@ _CHAR_BASE = 0xD1342543DE82EF95
 _pow = [np.ones(1, _U64), np.ones(1, _U64)]
 #: Members of a bucket that are compared at once: so many of those outside its most common component, and of all.
 BLOCK_OUTSIDE, BLOCK_ALL = 64, 256
-#: Pivots of a bucket with more than BLOCK_OUTSIDE members.
-PIVOTS = 16
+#: Pivots that a member of buckets with more than BLOCK_OUTSIDE members tries.
+PIVOTS = 8
 #: Vertices of the link graph are classes, known by their least id and so many values of their fingerprint.
 FINGERPRINTS = 1 << 56
 
@@ -221,12 +221,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     links = _links(first, sets, percent)
     found = components(links, "pivot-components")
 
-    # large buckets that still hold several components: all members against some pivots more
+    # large buckets that still hold several components: each member against some pivots more, as many in all its buckets
     marked = _open_members(members, found)
-    spread_over = F.pmod(F.xxhash64("vertex", F.lit(5)), F.lit(PIVOTS))
-    large = marked.where(F.col("size") > BLOCK_OUTSIDE)
-    chosen = large.withColumn("p", F.xxhash64("vertex", F.lit(6))).groupBy(F.col("key").alias("k"), spread_over).agg(F.min_by("vertex", "p").alias("pivot"), F.min_by("c", "p").alias("pivot_c"))
-    pairs = large.join(chosen, (F.col("key") == F.col("k")) & (F.col("c") != F.col("pivot_c"))).select(F.col("vertex").alias("a"), F.col("pivot").alias("b")).distinct()
+    large = marked.where(F.col("size") > BLOCK_OUTSIDE).withColumns({"p": F.xxhash64("vertex", F.lit(6)), "slot": F.pmod(F.xxhash64("vertex", F.lit(5)), F.lit(PIVOTS))})
+    slots = [(i, F.when(F.col("slot") == i, F.col("p"))) for i in range(PIVOTS)]
+    chosen = large.groupBy(F.col("key").alias("k")).agg(*[x for i, own in slots for x in (F.min(own).alias(f"p{i}"), F.min_by("vertex", own).alias(f"v{i}"), F.min_by("c", own).alias(f"c{i}"))])
+    tries = large.join(chosen, F.col("key") == F.col("k")).groupBy("vertex", "c").agg(*[F.min_by(F.struct(F.col(f"v{i}").alias("b"), F.col(f"c{i}").alias("bc")), f"p{i}").alias(f"x{i}") for i in range(PIVOTS)])
+    pairs = tries.select(F.col("vertex").alias("a"), "c", F.explode(F.array(*[f"x{i}" for i in range(PIVOTS)])).alias("x")).where("x.b IS NOT NULL AND c <> x.bc").select("a", "x.b").distinct()
     more = _links(pairs, sets, percent)
     if not more.isEmpty():
         found = components(found.select(F.col("v").alias("u"), F.col("component").alias("v")).unionByName(more), "large-components")

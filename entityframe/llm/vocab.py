@@ -68,8 +68,8 @@ class Pieces:
 class Memory:
     """Results by piece; `fill` gives those of a list of new pieces."""
 
-    def __init__(self, fill: Callable[[list[str]], list]):
-        self.fill, self.known = fill, {}
+    def __init__(self, fill: Callable[[list[str]], list], most: int = MEMORY_PIECES):
+        self.fill, self.known, self.most = fill, {}, most
 
     def look_up(self, pieces: list[str]) -> list:
         out = list(map(self.known.get, pieces))
@@ -88,5 +88,5 @@ class Memory:
 
     def make_room(self, n: int) -> None:
         """If n more pieces are too many, the first half stays: common pieces come early."""
-        if len(self.known) + n > MEMORY_PIECES:
-            self.known = dict(islice(self.known.items(), MEMORY_PIECES // 2))
+        if len(self.known) + n > self.most:
+            self.known = dict(islice(self.known.items(), self.most // 2))
