@@ -55,12 +55,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The mixed stream in its order, block by block: every document once at least, those of small sources again up to
     the repetition limit. Files and rows follow the stream; the columns are those of documents."""
     ship(spark)
-    # equal rows are one content, which comes as often as all of them together
-    keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("__row"))
-    tokens = keyed.select(F.struct("doc_id", "__row").alias("key"), "source", n_pieces("text").alias("n_tokens"))
-    stream = mixture(tokens, Target(repetitions=REPETITIONS), id_col="key").select(F.col("doc_id.doc_id").alias("id"), F.col("doc_id.__row").alias("row"), "block", "position")
-    contents = keyed.dropDuplicates(["doc_id", "__row"])
-    mixed = stream.join(contents, stream["id"].eqNullSafe(contents["doc_id"]) & (stream["row"] == contents["__row"]))
+    # equal rows are one content, which comes as often as all of them together; two hashes tell contents apart, and
+    # their join needs no exchange of texts beyond that of the deduplication
+    keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("__k1"), F.xxhash64(F.lit(1), *COLUMNS, *[F.isnull(x) for x in COLUMNS]).alias("__k2"))
+    tokens = keyed.select(F.struct("__k1", "__k2").alias("key"), "source", n_pieces("text").alias("n_tokens"))
+    stream = mixture(tokens, Target(repetitions=REPETITIONS), id_col="key").select("doc_id.*", "block", "position")
+    mixed = keyed.dropDuplicates(["__k1", "__k2"]).join(stream, ["__k1", "__k2"])
     return mixed.repartitionByRange("block", "position").sortWithinPartitions("block", "position").select(*COLUMNS)
 
 
