@@ -263,7 +263,7 @@ def _links_in_blocks(marked: DataFrame, sets: DataFrame, percent: int) -> DataFr
     a bucket without outside members all have one component.
     """
     own = sets.select(F.col("vertex").alias("own"), "n", "regs", "hashes")
-    full = written(marked.join(own, F.col("vertex") == F.col("own")).drop("own"), "open-members")
+    full = marked.join(own, F.col("vertex") == F.col("own")).drop("own")
     member = F.struct("vertex", "c", "n", "regs", "hashes")
 
     def blocks(rows: DataFrame, total: str, size: int, name: str) -> DataFrame:
