@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,6 +52,21 @@ def fulltext_score(text: Column, query: str) -> Column:
     return F.coalesce(F.size(F.array_intersect(words(F.lower(text)), wanted)), F.lit(0))
 
 
+def fulltext_matches(text: Column, query: str) -> Column:
+    """Boolean mode: `+word` has to be there and `-word` not; without a `+`, one of the plain words has to be; `word*` is a
+    beginning of a word. Case-insensitive; null text and a query without words to be there match nothing."""
+    have = words(F.lower(text))
+
+    def has(word: str) -> Column:
+        return F.exists(have, lambda x: x.startswith(word[:-1])) if word.endswith("*") else F.array_contains(have, word)
+
+    tokens = query.lower().split()
+    must, never = ([has(w[1:]) for w in tokens if w[0] == sign] for sign in "+-")
+    any_of = [has(w) for w in tokens if w[0] not in "+-"]
+    wanted = must or [functools.reduce(operator.or_, any_of, F.lit(False))]
+    return F.coalesce(functools.reduce(operator.and_, wanted + [~x for x in never]), F.lit(False))
+
+
 def _jaro_winkler(a: str | None, b: str | None) -> float | None:
     if a is None or b is None:
         return None

@@ -78,8 +78,10 @@ def haversine(a: Column, b: Column, radius: float = 6370986.0) -> Column:
 
 
 def ipv4_number(text: Column) -> Column:
+    """An IPv4 address as a number; null for anything else."""
     parts = F.split(text, r"\.")
     sound = text.rlike(r"^(\d{1,3}\.){3}\d{1,3}$")
+    sound &= F.forall(parts, lambda x: x.try_cast("int") <= 255)
     number = F.aggregate(F.transform(parts, lambda x: x.try_cast("long")), F.lit(0).cast("long"), lambda s, x: s * 256 + x)
     return F.when(sound, number)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -81,6 +82,28 @@ def group_by(df: DataFrame, key: str, skip_nulls: bool = False, **aggregates: Co
     return rows.groupBy(key).agg(*[c.alias(n) for n, c in aggregates.items() if n != key]).orderBy(F.col(key).asc_nulls_first())
 
 
+@dataclass(frozen=True)
+class AggregateSpec:
+    """An aggregate as data: operation, column, the name of the result and the keys that it is grouped by."""
+
+    op: str
+    column: str | None = None
+    alias: str | None = None
+    group_by: tuple[str, ...] = ()
+
+    @property
+    def name(self) -> str:
+        return self.alias or (f"{self.op}_{self.column}" if self.column else self.op)
+
+
+def computed(df: DataFrame, *specs: AggregateSpec) -> DataFrame:
+    """The aggregates of one grouping in one pass; null keys form a group."""
+    keys = {s.group_by for s in specs}
+    if len(keys) != 1:
+        raise ValueError("aggregates of one pass need the same keys")
+    return df.groupBy(*keys.pop()).agg(*[named(s.op, s.column).alias(s.name) for s in specs])
+
+
 def narrow(value: float | None) -> float | int | None:
     """A whole number as int, as scalar results are shown."""
     return int(value) if value is not None and value == int(value) and abs(value) < 2**53 else value

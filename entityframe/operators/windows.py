@@ -38,3 +38,7 @@ class NamedWindow:
     def count_where(self, condition: Column) -> Column:
         """COUNT(*) FILTER (WHERE ...) OVER, which Spark lacks."""
         return F.count(F.when(condition, 1)).over(self.spec())
+
+    def joined(self, column: Column | str, sep: str = ",") -> Column:
+        """GROUP_CONCAT OVER: the texts of the frame in the window's order; nulls are left out."""
+        return F.array_join(F.collect_list(column).over(self.spec()), sep)

@@ -32,6 +32,13 @@ def replace(table: DataFrame, rows: DataFrame, key: str, sequence: str | None =
     return kept.unionByName(rows, allowMissingColumns=True).select(table.columns)
 
 
+def insert_new(table: DataFrame, rows: DataFrame, key: str, sequence: str | None = None) -> DataFrame:
+    """The table with the rows whose id it lacks (ON CONFLICT DO NOTHING); of several rows with one id, see one_each."""
+    rows = one_each(rows, key, sequence)
+    known = table.select(F.col(key).alias("__k"))
+    return table.unionByName(rows.join(known, rows[key] == F.col("__k"), "left_anti"), allowMissingColumns=True).select(table.columns)
+
+
 def patch(table: DataFrame, rows: DataFrame, key: str, sequence: str | None = None) -> DataFrame:
     """Sets the columns that `rows` has, for ids that the table has, by the last change of an id; a null there is a value.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ...functions import objects, temporal, text, values
 from ...operators import aggregates, ordering, relations, writes
 from ...operators.predicates import condition
+from ...operators.windows import NamedWindow
 from ..output import ndjson
 from ..select import Select
 from ..table import Table
@@ -215,3 +216,21 @@ def output_ndjson(t: Tables):
 def joined_unique_by(t: Tables):
     key = c("c_nationkey").cast("string")
     return t.customer.groupBy("c_mktsegment").agg(aggregates.joined(key, ",", by=key, unique=True).alias("nations"))
+
+
+@query("SELECT o_orderkey, string_agg(o_orderstatus, '-') OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last_three FROM orders")
+def group_concat_over(t: Tables):
+    w = NamedWindow("o_custkey").order_by(c("o_orderdate"), c("o_orderkey")).rows(-2, 0)
+    return t.orders.select("o_orderkey", w.joined("o_orderstatus", "-").alias("last_three"))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal >= 0 UNION ALL SELECT s_suppkey, 'new' FROM supplier WHERE NOT coalesce(s_acctbal >= 0, false)")
+def insert_do_nothing(t: Tables):
+    table = t.supplier.where("s_acctbal >= 0").select("s_suppkey", "s_name")
+    return writes.insert_new(table, t.supplier.select("s_suppkey", F.lit("new").alias("s_name")), "s_suppkey")
+
+
+@query("""SELECT p_partkey, coalesce(list_contains(w, 'economy') AND NOT list_contains(w, 'tin'), false) AS must, coalesce(len(list_filter(w, lambda x: x[1:3] = 'eco' OR x = 'tin')) > 0, false) AS some
+FROM (SELECT p_partkey, string_split(lower(p_type), ' ') AS w FROM part)""")
+def fulltext_boolean(t: Tables):
+    return t.part.select("p_partkey", text.fulltext_matches(c("p_type"), "+ECONOMY -tin").alias("must"), text.fulltext_matches(c("p_type"), "eco* tin").alias("some"))

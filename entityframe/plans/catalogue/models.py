@@ -122,4 +122,6 @@ def patch_changed(t: Tables):
 
 @query("SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS s FROM customer GROUP BY c_mktsegment")
 def aggregate_spec(t: Tables):
-    return t.customer.groupBy("c_mktsegment").agg(aggregates.named("count").alias("n"), F.round(aggregates.named("sum", "c_acctbal"), 2).alias("s"))
+    keys = ("c_mktsegment",)
+    out = aggregates.computed(t.customer, aggregates.AggregateSpec("count", alias="n", group_by=keys), aggregates.AggregateSpec("sum", "c_acctbal", "s", keys))
+    return out.withColumn("s", F.round("s", 2))

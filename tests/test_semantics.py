@@ -325,3 +325,27 @@ def test_trees_end(spark):
     child = lambda d: d.select("id", (c("up.depth") + 1).alias("depth"))
     assert relations.descend(nodes.where("id > 1"), "id", "parent", roots, child).count() == 3
     assert writes.vanished(nodes, nodes.where("id > 1"), "id").count() == 1
+
+
+def test_addresses_beyond_their_range(spark):
+    from entityframe.functions import values
+
+    rows = spark.createDataFrame([("10.0.0.1",), ("10.0.0.256",), ("10.0.0",), (None,)], "a string")
+    assert [r[0] for r in rows.select(values.in_network(F.col("a"), "10.0.0.0/8")).collect()] == [True, None, None, None]
+
+
+def test_boolean_search(spark):
+    from entityframe.functions import text
+
+    rows = spark.createDataFrame([("big red cat",), ("red dog",), ("",), (None,)], "t string")
+    hits = lambda q: [r[0] for r in rows.select(text.fulltext_matches(F.col("t"), q)).collect()]
+    assert hits("+red -dog") == [True, False, False, False]
+    assert hits("do* cat") == [True, True, False, False]
+    assert hits("-dog") == hits("") == [False] * 4
+
+
+def test_aggregates_of_one_pass_share_keys(spark):
+    from entityframe.operators.aggregates import AggregateSpec, computed
+
+    with pytest.raises(ValueError, match="same keys"):
+        computed(spark.range(1), AggregateSpec("count"), AggregateSpec("sum", "id", group_by=("id",)))
