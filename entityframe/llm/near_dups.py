@@ -13,6 +13,8 @@ different components is left out.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +38,8 @@ _CHAR_BASE = 0xD1342543DE82EF95
 _pow = [np.ones(1, _U64), np.ones(1, _U64)]
 #: Members of a bucket that are compared at once: so many of those outside its most common component, and of all.
 BLOCK_OUTSIDE, BLOCK_ALL = 64, 256
+#: Sets of texts that a task remembers while it confirms pairs.
+REMEMBERED = 64
 #: Pivots that a member of buckets with more than BLOCK_OUTSIDE members tries.
 PIVOTS = 8
 #: Vertices of the link graph are classes, known by their least id and so many values of their fingerprint.
@@ -145,27 +149,17 @@ def _least_id(vertex: str):
     return F.expr(f"cast(({vertex} - pmod({vertex}, {FINGERPRINTS}BD)) / {FINGERPRINTS}BD AS bigint)")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text: str) -> DataFrame:
-    """vertex, n, registers and sorted 64-bit hashes of the wanted classes (rep, f1, n, regs)."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for vertex, f1, n, regs, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = shingle_hashes(t, words)
-                if len(h) == n and int(_mix(h).sum(dtype=_U64).astype(np.int64)) == f1:  # another row may have the same id
-                    out.append((vertex, n, regs, h.astype("<u8").tobytes()))
-            for i in range(0, len(out), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 500], strict=True), (pa.decimal128(38, 0), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["vertex", "n", "regs", "hashes"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text).alias("__text"))
-    found = texts.join(wanted, texts["__id"] == wanted["rep"]).select("vertex", "f1", "n", "regs", "__text")
-    return found.mapInArrow(run, "vertex decimal(38,0), n bigint, regs binary, hashes binary")
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
+    """vertex, n, registers and text of the wanted classes (vertex, rep, row, n, regs). Texts move in place of their sets,
+    which are several times larger and don't compress."""
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("__row"), F.col(text).alias("__text"))
+    found = texts.join(wanted, (F.col("__id") == F.col("rep")) & (F.col("__row") == F.col("row")))
+    return found.select("vertex", "n", "regs", F.col("__text").alias("text")).dropDuplicates(["vertex"])
 
 
-def _shared(a: bytes, b: bytes) -> int:
-    """Hashes that two stored sets share; both are sorted and without repetition."""
-    return len(np.intersect1d(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), assume_unique=True))
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Hashes that two sets share; both are sorted and without repetition."""
+    return len(np.intersect1d(a, b, assume_unique=True))
 
 
 def _spread(percent: int) -> float:
@@ -173,27 +167,28 @@ def _spread(percent: int) -> float:
     return 6 * np.sqrt(percent / 100 * (1 - percent / 100) / _M)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """The linked ones of the pairs of vertices (a, b): 100 * intersection >= percent * union of the full sets."""
     spread = _spread(percent)
 
     def run(batches):
+        hashes = lru_cache(REMEMBERED)(lambda t: shingle_hashes(t, words))
         for batch in batches:
             rows = batch.to_pylist()
             regs = [np.frombuffer(b"".join(r[c] for r in rows), "<u2").reshape(-1, _M) for c in ("ra", "rb")] if rows else [np.zeros((0, _M))] * 2
             guess = estimate(*regs, np.array([r["na"] for r in rows], float), np.array([r["nb"] for r in rows], float))
             linked = []
             for r, j in zip(rows, guess, strict=True):
-                both = _shared(r["ha"], r["hb"]) if j >= percent / 100 - spread else 0
+                both = _shared(hashes(r["ta"]), hashes(r["tb"])) if j >= percent / 100 - spread else 0
                 linked.append(100 * both >= percent * (r["na"] + r["nb"] - both))
             yield batch.select(["a", "b"]).rename_columns(["u", "v"]).filter(pa.array(linked, pa.bool_()))
 
     def side(s: str) -> DataFrame:
-        return sets.select(F.col("vertex").alias(f"{s}_vertex"), F.col("n").alias(f"n{s}"), F.col("regs").alias(f"r{s}"), F.col("hashes").alias(f"h{s}"))
+        return sets.select(F.col("vertex").alias(f"{s}_vertex"), F.col("n").alias(f"n{s}"), F.col("regs").alias(f"r{s}"), F.col("text").alias(f"t{s}"))
 
     full = pairs.join(side("a"), F.col("a") == F.col("a_vertex")).join(side("b"), F.col("b") == F.col("b_vertex"))
     with small_batches(pairs.sparkSession, 128):
-        return written(full.select("a", "b", "na", "nb", "ra", "rb", "ha", "hb").mapInArrow(run, "u decimal(38,0), v decimal(38,0)"), "links")
+        return written(full.select("a", "b", "na", "nb", "ra", "rb", "ta", "tb").mapInArrow(run, "u decimal(38,0), v decimal(38,0)"), "links")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,35 +201,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     an empty table gives no rows.
     """
     rows = written(sketched(docs, words, id_col, text), "sketches")
-    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("regs").alias("regs"))
+    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "row")).alias("x"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("regs").alias("regs"))
+    classes = classes.select("f1", "f2", F.col("x.doc_id").alias("rep"), "x.row", "n", "bands", "regs")
     classes = written(classes.withColumn("vertex", _vertex("rep", "f1")), "classes")
     banded = classes.select("vertex", "n", F.posexplode("bands").alias("band", "key"))
     pivots = banded.withColumn("p", F.xxhash64("vertex")).groupBy("key").agg(F.min("p").alias("p"), F.min_by("vertex", "p").alias("pivot"), F.count("*").alias("size"))
-    pivots = pivots.where("size > 1").select(F.col("key").alias("k"), "p", "pivot")
+    pivots = pivots.where("size > 1").select(F.col("key").alias("k"), "p", "pivot", "size")
     members = written(banded.join(pivots, F.col("key") == F.col("k")).drop("k"), "members")
     in_buckets = members.select(F.col("vertex").alias("in_bucket")).distinct()
-    wanted = classes.join(in_buckets, F.col("vertex") == F.col("in_bucket"), "left_semi").select("vertex", "rep", "f1", "n", "regs")
-    sets = written(_sets(docs, wanted, words, id_col, text), "sets")
+    wanted = classes.join(in_buckets, F.col("vertex") == F.col("in_bucket"), "left_semi").select("vertex", "rep", "row", "n", "regs")
+    sets = written(_sets(docs, wanted, id_col, text), "sets")
 
     # the most common pivot of each member
     first = members.where("vertex <> pivot").groupBy(F.col("vertex").alias("a")).agg(F.min_by("pivot", "p").alias("b"))
-    links = _links(first, sets, percent)
+    links = _links(first, sets, words, percent)
     found = components(links, "pivot-components")
 
     # large buckets that still hold several components: each member against some pivots more, as many in all its buckets
     marked = _open_members(members, found)
     large = marked.where(F.col("size") > BLOCK_OUTSIDE).withColumns({"p": F.xxhash64("vertex", F.lit(6)), "slot": F.pmod(F.xxhash64("vertex", F.lit(5)), F.lit(PIVOTS))})
     slots = [(i, F.when(F.col("slot") == i, F.col("p"))) for i in range(PIVOTS)]
-    chosen = large.groupBy(F.col("key").alias("k")).agg(*[x for i, own in slots for x in (F.min(own).alias(f"p{i}"), F.min_by("vertex", own).alias(f"v{i}"), F.min_by("c", own).alias(f"c{i}"))])
-    tries = large.join(chosen, F.col("key") == F.col("k")).groupBy("vertex", "c").agg(*[F.min_by(F.struct(F.col(f"v{i}").alias("b"), F.col(f"c{i}").alias("bc")), f"p{i}").alias(f"x{i}") for i in range(PIVOTS)])
+    chosen = large.groupBy(F.col("key").alias("k")).agg(*[x for i, own in slots for x in (F.min(own).alias(f"p{i}"), F.min_by("vertex", own).alias(f"v{i}"), F.min_by("c", own).alias(f"c{i}"))], F.first("size").alias("of"))
+    tries = _with_buckets(large, chosen).groupBy("vertex", "c").agg(*[F.min_by(F.struct(F.col(f"v{i}").alias("b"), F.col(f"c{i}").alias("bc")), f"p{i}").alias(f"x{i}") for i in range(PIVOTS)])
     pairs = tries.select(F.col("vertex").alias("a"), "c", F.explode(F.array(*[f"x{i}" for i in range(PIVOTS)])).alias("x")).where("x.b IS NOT NULL AND c <> x.bc").select("a", "x.b").distinct()
-    more = _links(pairs, sets, percent)
+    more = _links(pairs, sets, words, percent)
     if not more.isEmpty():
         found = components(found.select(F.col("v").alias("u"), F.col("component").alias("v")).unionByName(more), "large-components")
         marked = _open_members(members, found)
 
     # members outside the pivot's component against those of other components
-    more = _links_in_blocks(marked, sets, percent)
+    more = _links_in_blocks(marked, sets, words, percent)
     if not more.isEmpty():
         found = components(found.select(F.col("v").alias("u"), F.col("component").alias("v")).unionByName(more))
 
@@ -248,23 +244,32 @@ def _open_members(members: DataFrame, found: DataFrame) -> DataFrame:
     """The members of buckets that hold several components, with their component c and whether it isn't the bucket's most
     common one; `size` and `outs` count the bucket's members and those outside its most common component."""
     at = found.select(F.col("v").alias("c_v"), "component")
-    marked = members.join(at, F.col("vertex") == F.col("c_v"), "left").select("key", "band", "vertex", F.coalesce("component", "vertex").alias("c"))
+    marked = members.join(at, F.col("vertex") == F.col("c_v"), "left").select("key", "band", "vertex", "size", F.coalesce("component", "vertex").alias("c"))
     marked = written(marked, "marked")
-    most = marked.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("k")).agg(F.max_by("c", "n").alias("main"), F.sum("n").alias("size"), F.max("n").alias("n"))
-    most = most.where("n < size").select("k", "main", "size", (F.col("size") - F.col("n")).alias("outs"))
-    return written(marked.join(most, F.col("key") == F.col("k")).select("key", "band", "vertex", "c", (F.col("c") != F.col("main")).alias("outside"), "size", "outs"), "open")
+    most = marked.groupBy("key", "c").agg(F.count("*").alias("n"), F.first("size").alias("of")).groupBy(F.col("key").alias("k")).agg(F.max_by("c", "n").alias("main"), F.max("of").alias("of"), F.max("n").alias("n"))
+    most = most.where("n < of").select("k", "main", "of", (F.col("of") - F.col("n")).alias("outs"))
+    return written(_with_buckets(marked, most).select("key", "band", "vertex", "c", (F.col("c") != F.col("main")).alias("outside"), "size", "outs"), "open")
+
 
+def _with_buckets(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Members (key, vertex, size) with the columns of their bucket (k, its size `of`, others). A bucket's members meet it
+    in parts of bounded size, so a large one is spread over tasks."""
+    parts = lambda size: F.ceil(F.col(size) / BLOCK_ALL).cast("int")
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("vertex", F.lit(7)), parts("size")).cast("int"))
+    each = buckets.withColumn("to_part", F.explode(F.sequence(F.lit(0), parts("of") - 1)))
+    return dealt.join(each, (F.col("key") == F.col("k")) & (F.col("part") == F.col("to_part"))).drop("k", "part", "to_part", "of")
 
-def _links_in_blocks(marked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+
+def _links_in_blocks(marked: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (u, v) between members outside their bucket's most common component and members of other components.
 
-    Both are dealt into blocks of bounded size whose registers and sets meet block by block, so a large bucket is spread
+    Both are dealt into blocks of bounded size whose registers and texts meet block by block, so a large bucket is spread
     over tasks and its pairs never become rows. A pair that shares several bands is compared in the first of them: in
     a bucket without outside members all have one component.
     """
-    own = sets.select(F.col("vertex").alias("own"), "n", "regs", "hashes")
+    own = sets.select(F.col("vertex").alias("own"), "n", "regs", "text")
     full = marked.join(own, F.col("vertex") == F.col("own")).drop("own")
-    member = F.struct("vertex", "c", "n", "regs", "hashes")
+    member = F.struct("vertex", "c", "n", "regs", "text")
 
     def blocks(rows: DataFrame, total: str, size: int, name: str) -> DataFrame:
         dealt = rows.withColumn("block", F.pmod(F.xxhash64("vertex", F.lit(3)), F.ceil(F.col(total) / size)).cast("int"))
@@ -278,12 +283,18 @@ def _links_in_blocks(marked: DataFrame, sets: DataFrame, percent: int) -> DataFr
         ra, rb = (np.frombuffer(b"".join(x["regs"] for x in side), "<u2").reshape(-1, _M) for side in (some, others))
         na, nb = (np.array([x["n"] for x in side], float) for side in (some, others))
         parent: dict = {}
+        known: dict = {}
 
         def root(c):
             while (p := parent.setdefault(c, c)) != c:
                 c = p
             return c
 
+        def hashes(x: dict) -> np.ndarray:
+            if x["vertex"] not in known:
+                known[x["vertex"]] = shingle_hashes(x["text"], words)
+            return known[x["vertex"]]
+
         todo: list[tuple[np.ndarray, np.ndarray]] = []
         cut = band * BAND_ROWS
         for i, x in enumerate(some):
@@ -300,7 +311,7 @@ def _links_in_blocks(marked: DataFrame, sets: DataFrame, percent: int) -> DataFr
             a, b = root(x["c"]), root(y["c"])
             if a == b:
                 continue  # one link between two components is enough
-            both = _shared(x["hashes"], y["hashes"])
+            both = _shared(hashes(x), hashes(y))
             if 100 * both >= percent * (x["n"] + y["n"] - both):
                 parent[a] = b
                 yield x["vertex"], y["vertex"]
