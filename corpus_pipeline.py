@@ -34,15 +34,14 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     ship(spark)
     found = near_duplicates(docs)
-    best = found.where("kept AND component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("id"), F.min("row").alias("key")).drop("component")
-    free = found.where("component IS NULL").select(F.col("doc_id").alias("id"), F.col("row").alias("key")).distinct()
-    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("__row"))
-
-    def kept(keys: DataFrame) -> DataFrame:
-        return rows.join(keys, rows["doc_id"].eqNullSafe(keys["id"]) & (rows["__row"] == keys["key"]), "left_semi")
-
-    # rows that share id and text are one document
-    return kept(best).dropDuplicates(["doc_id", "__row"]).unionByName(kept(free)).select(*COLUMNS)
+    best = found.where("kept AND component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("id"), F.min("row").alias("key")).select("id", "key", F.lit(True).alias("__once"))
+    free = found.where("component IS NULL").select(F.col("doc_id").alias("id"), F.col("row").alias("key"), F.lit(False).alias("__once")).distinct()
+    keys = best.unionByName(free).select(F.coalesce("id", F.lit(0)).alias("__id"), F.isnull("id").alias("__no_id"), F.col("key").alias("__row"), "__once")
+    rows = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(0)).alias("__id"), F.isnull("doc_id").alias("__no_id"), F.xxhash64("text").alias("__row"))
+    at = ["__id", "__no_id", "__row"]
+    # rows of a group that share id and text are one document; the join's exchange serves for this too
+    kept = rows.join(keys, at).withColumn("__n", F.when(F.col("__once"), F.lit(0)).otherwise(F.monotonically_increasing_id()))
+    return kept.dropDuplicates([*at, "__n"]).select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
